@@ -74,7 +74,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_vantage_point_search": """
             WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-            s AS (SELECT q.vec_id AS query_id, v.vec_id, list_aggregate(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i]), 'fsum') AS score
+            s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS score
                   FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",

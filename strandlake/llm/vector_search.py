@@ -6,8 +6,8 @@ median distance from a vantage point. With t a query's distance to its worst nei
 rules out a side if the query is more than t away from the split; ``relax`` lets it rule out sides at t / relax. At
 one, the search is exact; above, it visits fewer leaves and may miss neighbours.
 
-Blocks of queries meet shards as single rows, so a task holds one tree and one block. What is found is scored anew as
-the exact sum of the products, rounded once, so equal vectors have equal scores wherever they lie.
+Blocks of queries meet shards as single rows, so a task holds one tree and one block. What is found is scored anew on
+the original vectors, component after component, so equal vectors have equal scores wherever they lie.
 """
 
 from __future__ import annotations
@@ -100,10 +100,9 @@ class VantagePointTree:
         visit(self.root, np.arange(n))
         out = []
         for q in range(n):
-            found = []
-            for r in rows[q][rows[q] >= 0].tolist():
-                score = math.fsum((queries[q] * self.points[r, :dim]).tolist())
-                found += [(score, i) for i in self.members[r][: k + 1].tolist() if i != own[q]]
+            near = rows[q][rows[q] >= 0]
+            scores = np.cumsum(queries[q] * self.points[near, :dim], axis=1)[:, -1]
+            found = [(s, i) for s, r in zip(scores.tolist(), near.tolist(), strict=True) for i in self.members[r][: k + 1].tolist() if i != own[q]]
             out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
         return out
 
