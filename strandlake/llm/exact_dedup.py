@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 
 from ._common import scratch, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a version adds its changes to the checkpoint, and no store allocates files ahead of what it holds.
+STORE = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "rocksdb.changelogCheckpointing.enabled": "true",
+    "rocksdb.allowFAllocate": "false",
+}
 
 
 @contextmanager
-def _setting(spark: SparkSession, **values: str):
+def _setting(spark: SparkSession, **keys: str):
     """Settings for the block only; a query copies them when it starts."""
-    keys = {k.replace("__", "."): v for k, v in values.items()}
     before = {k: spark.conf.get(k, None) for k in keys}
     try:
         for k, v in keys.items():
@@ -54,7 +58,7 @@ def seen(spark: SparkSession, feed: str, checkpoint: str) -> DataFrame:
     """
     rows = spark.readStream.schema("digest binary, doc_id long, at struct<file: string, row: long>").parquet(feed)
     state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n"))
-    with _setting(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    with _setting(spark, **{f"spark.sql.streaming.stateStore.{k}": v for k, v in STORE.items()}):
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     stored = spark.read.format("statestore").load(checkpoint)
