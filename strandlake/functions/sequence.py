@@ -67,9 +67,8 @@ def windows(text: Column, width: int) -> Column:
 
 def anchor_scan(text: Column, anchor: str, most: int) -> Column:
     """struct(dist, start) of the first window of the anchor's length with the least edit distance; null beyond ``most``."""
-    hits = F.transform(windows(text, len(anchor)), lambda i: F.struct(F.levenshtein(F.substr(text, i + 1, F.lit(len(anchor))), F.lit(anchor)).alias("dist"), i.alias("start")))
-    best = F.array_min(hits)
-    return F.when(best.dist <= most, best)
+    hits = F.transform(windows(text, len(anchor)), lambda i: F.struct(F.levenshtein(F.substr(text, i + 1, F.lit(len(anchor))), F.lit(anchor), most).alias("dist"), i.alias("start")))
+    return F.array_min(F.filter(hits, lambda h: h.dist >= 0))
 
 
 def fuzzy_contains(text: Column, pattern: Column | str, most: int) -> Column:
@@ -82,10 +81,11 @@ def fuzzy_contains(text: Column, pattern: Column | str, most: int) -> Column:
 def semiglobal_native(text: Column, pattern: str, most: int) -> Column:
     """The least edit distance of the whole pattern to any stretch of the text; null beyond ``most``. A parity form of the Arrow one."""
     n = len(pattern)
-    widths = range(max(0, n - most), n + most + 1)
-    tries = [F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i, w=w: F.levenshtein(F.substr(text, i, F.lit(w)), F.lit(pattern))) for w in widths]
-    best = F.array_min(F.concat(*tries))
-    return F.when(best <= most, best)
+
+    def tries(width: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.levenshtein(F.substr(text, i, F.lit(width)), F.lit(pattern), most))
+
+    return F.array_min(F.filter(F.concat(*(tries(w) for w in range(max(0, n - most), n + most + 1))), lambda d: d >= 0))
 
 
 def kmers(text: Column, k: int) -> Column:

@@ -54,7 +54,7 @@ def barcode_fast_match(reads: DataFrame, pairs: list[tuple[str, str, str]], most
     table = variant_table(reads, pairs, most)
 
     def hits(region: str, side: str) -> DataFrame:
-        tags = reads.select("read_id", F.explode(F.array_distinct(kmers(F.col(region), TAG))).alias("tag"))
+        tags = reads.select("read_id", F.explode(kmers(F.col(region), TAG)).alias("tag"))
         return tags.join(table, "tag").groupBy("read_id", "sample", "ord", F.col("kind").alias(f"{side}_kind")).agg(F.min("dist").alias(f"{side}_dist"))
 
     allowed = F.lit(False)

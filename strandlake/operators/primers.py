@@ -29,10 +29,13 @@ def seed_length(shortest: int, most: int) -> int:
 
 
 def kmer_candidates(reads: DataFrame, primers: DataFrame, k: int, *, region: str = "region") -> DataFrame:
-    """(read_id, name, hits): primers of which either strand shares k-mers with a read's region, by number of them."""
+    """(read_id, name, hits): primers of which either strand shares k-mers with a read's region, by number of them.
+
+    Reads are in upper case; function arguments inside the search for k-mers would be worked out anew for each of them.
+    """
     strands = primers.select("name", F.explode(F.array(F.upper("seq"), reverse_complement_upper(F.upper("seq")))).alias("seq"))
     seeds = strands.select("name", F.explode(kmers(F.col("seq"), k)).alias("kmer")).distinct()
-    own = reads.select("read_id", F.explode(F.array_distinct(kmers(F.upper(region), k))).alias("kmer"))
+    own = reads.select("read_id", F.explode(kmers(F.col(region), k)).alias("kmer")).join(F.broadcast(seeds.select("kmer").distinct()), "kmer", "left_semi").distinct()
     return own.join(seeds, "kmer").groupBy("read_id", "name").agg(F.count("*").alias("hits"))
 
 
@@ -145,22 +148,36 @@ def discovery_fallback(reads: int, assigned: int) -> bool:
     return reads > 500 and assigned < 0.05 * reads
 
 
-def split_read(seq: str, qual: str, primers: list[str], most: int, end: int) -> list[tuple[int, int]]:
-    """(start, end) of a read's parts, cut at the best primer inside, again and again; the whole read if there is none."""
-    shortest = max(end, 150)
+def split_reads(seqs: list[str], primers: list[str], most: int, end: int) -> list[list[tuple[int, int]]]:
+    """(start, end) of each read's parts: cut at the best primer inside, and the parts again, while both stay long enough.
 
-    def cut(a: int, b: int) -> list[tuple[int, int]]:
-        inner = seq[a + end : b - end]
-        if b - a < 2 * shortest or not inner:
-            return [(a, b)]
-        hits = [(int(d[0]), int(e[0])) for p in primers for q in (p, _flip(p)) for d, e in [sellers([inner], q)]]
-        dist, at = min(hits, default=(most + 1, 0))
-        place = a + end + at
-        if dist > most or place - a < shortest or b - place < shortest:
-            return [(a, b)]
-        return cut(a, place) + cut(place, b)
-
-    return cut(0, len(seq))
+    All parts that may still be cut go through each primer's matrix together.
+    """
+    shortest, patterns = max(end, 150), [q for p in primers for q in (p, _flip(p))]
+    done: list[list[tuple[int, int]]] = [[] for _ in seqs]
+    pending = [(k, 0, len(s)) for k, s in enumerate(seqs)]
+    while pending:
+        may = [x for x in pending if x[2] - x[1] >= 2 * shortest and x[2] - x[1] > 2 * end]
+        for k, a, b in set(pending) - set(may):
+            done[k].append((a, b))
+        pending = []
+        if not may:
+            break
+        may.sort(key=lambda x: x[2] - x[1])  # parts of like length share a matrix
+        best, at = np.full(len(may), most + 1), np.zeros(len(may), np.int64)
+        for lot in (slice(n, n + 256) for n in range(0, len(may), 256)):
+            inner = [seqs[k][a + end : b - end] for k, a, b in may[lot]]
+            for q in patterns:
+                d, e = sellers(inner, q)
+                better = (d < best[lot]) | ((d == best[lot]) & (d <= most) & (e < at[lot]))
+                best[lot], at[lot] = np.where(better, d, best[lot]), np.where(better, e, at[lot])
+        for (k, a, b), dist, e in zip(may, best.tolist(), at.tolist(), strict=True):
+            place = a + end + e
+            if dist > most or place - a < shortest or b - place < shortest:
+                done[k].append((a, b))
+            else:
+                pending += [(k, a, place), (k, place, b)]
+    return [sorted(parts) for parts in done]
 
 
 def chimera_split(reads: DataFrame, primers: list[Primer], most: int = 3, end: int = 150) -> DataFrame:
@@ -170,8 +187,8 @@ def chimera_split(reads: DataFrame, primers: list[Primer], most: int = 3, end: i
     def split(batches):
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                parts = split_read(r.seq.upper(), r.qual, patterns, most, end)
+            cuts = split_reads([x.upper() for x in batch["seq"]], patterns, most, end)
+            for r, parts in zip(batch.itertuples(index=False), cuts, strict=True):
                 rows += [(f"{r.read_id}_split{k}" if len(parts) > 1 else r.read_id, r.read_id, r.seq[a:b], r.qual[a:b]) for k, (a, b) in enumerate(parts, 1)]
             yield pd.DataFrame(rows, columns=["read_id", "parent_id", "seq", "qual"])
 
