@@ -67,13 +67,14 @@ def windows(text: Column, width: int) -> Column:
 
 def anchor_scan(text: Column, anchor: str, most: int) -> Column:
     """struct(dist, start) of the first window of the anchor's length with the least edit distance; null beyond ``most``."""
-    hits = F.transform(windows(text, len(anchor)), lambda i: F.struct(F.levenshtein(F.substr(text, i + 1, F.lit(len(anchor))), F.lit(anchor), most).alias("dist"), i.alias("start")))
+    hits = F.transform(kmers(text, len(anchor)), lambda w, i: F.struct(F.levenshtein(w, F.lit(anchor), most).alias("dist"), i.alias("start")))
     return F.array_min(F.filter(hits, lambda h: h.dist >= 0))
 
 
 def fuzzy_contains(text: Column, pattern: Column | str, most: int) -> Column:
     """Whether some window of the pattern's length is within ``most`` edits."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    if isinstance(pattern, str):
+        return F.exists(kmers(text, len(pattern)), lambda w: F.levenshtein(w, F.lit(pattern), most) >= 0)
     starts = F.when(F.length(text) >= F.length(pattern), F.sequence(F.lit(1), F.length(text) - F.length(pattern) + 1)).otherwise(F.array().cast("array<int>"))
     return F.exists(starts, lambda i: F.levenshtein(F.substr(text, i, F.length(pattern)), pattern, most) >= 0)
 
@@ -89,8 +90,8 @@ def semiglobal_native(text: Column, pattern: str, most: int) -> Column:
 
 
 def kmers(text: Column, k: int) -> Column:
-    """All stretches of length k, repeats included."""
-    return F.transform(windows(text, k), lambda i: F.substr(text, i + 1, F.lit(k)))
+    """All stretches of length k, repeats included, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?=(.{{{k}}}))"), 1)
 
 
 def hamming_variants(seq: str, most: int, alphabet: str = "ACGT") -> list[str]:
