@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,33 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(cache: Callable):
+    """For a function over batches: once a task is done, its worker forgets what ``cache`` holds and returns unused memory.
+
+    Idle workers stay beside the tasks of later stages, which need the executor's memory.
+    """
+
+    def wrap(run: Callable) -> Callable:
+        def until_done(batches):
+            try:
+                yield from run(batches)
+            finally:
+                cache.cache_clear()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+
+        return until_done
+
+    return wrap
+
+
+def slices(batches, rows: int = 512):
+    """The batches in parts of at most so many rows, so that few texts are held as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, text) of ``docs``, whatever else it has; a null text is empty."""
     return docs.select(

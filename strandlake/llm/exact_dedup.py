@@ -23,6 +23,9 @@ STORE = {
     "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "rocksdb.changelogCheckpointing.enabled": "true",
     "rocksdb.allowFAllocate": "false",
+    # all stores of an executor share one bounded cache
+    "rocksdb.boundedMemoryUsage": "true",
+    "rocksdb.maxMemoryUsageMB": "200",
 }
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, written
+from ._common import released, scratch, slices, written
 from .unit_encoding import UnitMemory
 
 #: Words are runs of word characters or of marks, as in the public recipe for resampling by importance.
@@ -28,7 +28,7 @@ PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 @functools.lru_cache(maxsize=1)
 def _hashes() -> UnitMemory:
-    return UnitMemory(lambda word: xxhash.xxh64_intdigest(word.encode(), 7))
+    return UnitMemory(lambda word: xxhash.xxh64_intdigest(word.encode(), 7), 100_000)
 
 
 def ngram_buckets(text: str) -> np.ndarray:
@@ -52,9 +52,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> tuple[np.ndar
     """
     sample = F.broadcast(_labelled(labels, "quality", rows))
 
+    @released(_hashes)
     def count(batches):
         raw, target, known, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
                 n = np.bincount(ngram_buckets(text or ""), minlength=BUCKETS)
                 raw += n
@@ -81,8 +82,9 @@ def weigh(docs: DataFrame, ratio: np.ndarray, temperature: float = 0.002, seed:
     """doc_id, n_ngrams, weight (mean log ratio, 0 without n-grams), key (weight plus Gumbel noise) and its order as a long."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
+    @released(_hashes)
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             table, n, weight, noise = shared.value, [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 buckets = ngram_buckets(text or "")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, texts, written
+from ._common import scratch, slices, texts, written
 from .components import components
 
 SEED = 42
@@ -134,9 +134,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, probes: int = 0,
     """
 
     def make(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             votes = np.stack([bit_votes(shingle_hashes(t, shingle), words) for t in batch["text"].to_pylist()])
             prints = np.packbits(votes > 0, axis=1, bitorder="little")
             raw = [p.tobytes() for p in prints]

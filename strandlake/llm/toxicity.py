@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import released, slices
 from .unit_encoding import UnitMemory
 
 WORD = re.compile(r"\w+")
@@ -39,7 +40,7 @@ def _features() -> UnitMemory:
         own = [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
         return tuple(xxhash.xxh64_intdigest(x.encode(), 11) % BUCKETS for x in own)
 
-    return UnitMemory(make, 150_000)
+    return UnitMemory(make, 60_000)
 
 
 def features(text: str) -> np.ndarray:
@@ -87,8 +88,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Model:
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
 
+    @released(_features)
     def extract(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t or "") for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "buckets"])
 
@@ -137,23 +139,25 @@ def graded(docs: DataFrame, model: Model) -> DataFrame:
     used = np.flatnonzero(model.weights)
     shared = spark.sparkContext.broadcast((dict(zip(used.tolist(), model.weights[used].tolist(), strict=True)), model.thresholds, model.cut))
 
+    @released(_features)
     def score(batches):
         weights, thresholds, cut = shared.value
         known = _features()
-        words = UnitMemory(lambda w: tuple((b, weights[b]) for b in known[w] if b in weights), 100_000)
-        for batch in batches:
-            totals = []
+        words = UnitMemory(lambda w: tuple((b, weights[b]) for b in known[w] if b in weights), 60_000)
+        for batch in slices(batches):
+            totals, marked = [], []
             for text in batch["__text"].to_pylist():
                 found: dict[int, float] = {}
                 for w in set(WORD.findall(text.lower())):
                     if hit := words[w]:
                         found.update(hit)
                 totals.append(sum(v for _, v in sorted(found.items())))
+                marked.append(any(v > 0 for v in found.values()))
             expected = severity(np.array(totals, float), thresholds)
             chance = 1 - _sigmoid(np.array(totals, float)[:, None] - thresholds)
             steps = np.diff(np.concatenate([np.zeros((len(totals), 1)), chance, np.ones((len(totals), 1))], axis=1), axis=1)
             own = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(expected, pa.float64()), pa.array(steps.argmax(axis=1), pa.int32()), pa.array(expected >= cut, pa.bool_())], [*(n for n in batch.schema.names if n != "__text"), "__severity", "__grade", "__toxic"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(expected, pa.float64()), pa.array(steps.argmax(axis=1), pa.int32()), pa.array((expected >= cut) & np.array(marked, bool), pa.bool_())], [*(n for n in batch.schema.names if n != "__text"), "__severity", "__grade", "__toxic"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(score, f"{fields}, __severity double, __grade int, __toxic boolean")
@@ -162,7 +166,7 @@ def graded(docs: DataFrame, model: Model) -> DataFrame:
 def severities(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> DataFrame:
     """doc_id, severity, grade and toxic of every whole text.
 
-    A null or empty text has no features. Equal texts get equal results. If no labelled text is toxic none is found so,
+    A null or empty text has no features; without any feature that speaks for toxicity a text is not toxic. Equal texts get equal results. If no labelled text is toxic none is found so,
     and if there are no labels at all. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
