@@ -95,13 +95,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Model:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "buckets"])
 
     table = labelled.select("doc_id", "text", "toxic").mapInArrow(extract, "doc_id long, toxic int, buckets array<int>").toArrow()
-    order = np.lexsort((table["doc_id"].to_numpy(),))
-    lengths = table["buckets"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-    flat, toxic = table["buckets"].combine_chunks().flatten().to_numpy(), table["toxic"].to_numpy() > 0
+    # in order of the ids, so that sums don't depend on which task was done first
+    table = table.take(np.lexsort((table["doc_id"].to_numpy(),))).combine_chunks() if table.num_rows else table
+    buckets = table["buckets"].combine_chunks()
+    lengths, flat, toxic = buckets.value_lengths().to_numpy(zero_copy_only=False), buckets.flatten().to_numpy(), table["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return Model(np.zeros(BUCKETS), np.array([40.0 if not toxic.any() else -40.0]), 0.5)
-    row = np.repeat(np.argsort(order), lengths)
-    toxic = toxic[order]
+    row = np.repeat(np.arange(len(toxic)), lengths)
     grades = np.where(toxic, _grades(row, flat, toxic), 0)
     # sparse features in few texts say nothing: keep those of at least five
     often = np.bincount(flat, minlength=BUCKETS)[flat] >= 5
@@ -125,7 +125,7 @@ def _grades(row: np.ndarray, flat: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 def _best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
     """The middle of the widest gap among the cuts with the best F1."""
-    order = np.argsort(-scores)
+    order = np.argsort(-scores, kind="stable")
     hit = np.cumsum(toxic[order])
     f1 = 2 * hit / (np.arange(1, len(scores) + 1) + max(1, toxic.sum()))
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)[0]

@@ -279,7 +279,7 @@ def test_toxicity(labelled):
     held = [(got[r.doc_id].toxic, r.toxic) for r in df.where("doc_id % 2 = 1").collect()]
     assert sum(t == bool(x) for t, x in held) >= 0.97 * len(held)
     assert all(0 <= r.severity <= 3 for r in got.values()) and not got[9002].toxic
-    kept = toxicity.without_toxic(docs, labels)
+    kept = toxicity.without_toxic(docs, labels, 400)  # the same model as above
     assert kept.columns == docs.columns and kept.count() == docs.count() - sum(r.toxic for r in got.values())
     assert toxicity.severities(docs.limit(0), labels).count() == 0
     assert not any(r.toxic for r in toxicity.severities(docs, labels.limit(0)).collect())
