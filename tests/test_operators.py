@@ -66,7 +66,7 @@ def test_families(spark):
     fam = umi.families_exact(keyed)
     assert sorted(r["count"] for r in fam.groupBy("family").count().collect()) == [30, 100]
     cut = umi.family_filter(fam.withColumn("consensus_umi", F.col("key")), 2, 80)
-    assert {r.family: r["written"] for r in umi.family_stats(cut, 2, 80).collect()} == {0: 80, 1: 30}
+    assert {r.id_cluster: r["written"] for r in umi.family_stats(cut, 2, 80).collect()} == {0: 80, 1: 30}
     even = umi.family_filter(fam.where("key = 'ACGT'"), 2, 80, balance=True).where("written")
     assert all(r["count"] <= 40 for r in even.groupBy("strand").count().collect())
 
