@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folder(spark: SparkSession) -> str:
+def round_folder(spark: SparkSession) -> str:
+    """A fresh path below the folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/strandlake-rounds/{uuid.uuid4().hex}"
 
@@ -49,7 +50,7 @@ def first_centres(keys: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round ends in a table, so its plan doesn't grow. A chain of n neighbours needs about n / 2 rounds.
     """
-    spark, folder, k = keys.sparkSession, _folder(keys.sparkSession), 0
+    spark, folder, k = keys.sparkSession, round_folder(keys.sparkSession), 0
 
     def kept(df: DataFrame) -> DataFrame:
         nonlocal k

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alignment import iupac_distance
 from ..functions.sequence import IUPAC_BASES
-from .clustering import star_clusters
+from .clustering import round_folder, star_clusters
 
 #: Fixed values of the method: the stretch that a window must share with an anchor, and the length changes tried in turn.
 GATE, DELTAS = 8, (0, -2, 2, -4, 4)
@@ -228,6 +228,12 @@ def umi_summary(stats: DataFrame, detected: DataFrame, sample: str, amplicon: st
 
 
 def umi_pipeline(reads: DataFrame, config: UmiConfig, most: int, min_reads: int, max_reads: int, balance: bool = False) -> DataFrame:
-    """Detection, families and their filter in one: a row per read that has a UMI."""
-    found = detect_umi(reads, config).withColumn("key", F.coalesce("umi.normalized", "umi.combined")).withColumn("strand", F.col("umi.strand"))
+    """Detection, families and their filter in one: a row per read that has a UMI.
+
+    What is detected is written once to the shared folder, without the sequences, as clustering reads it again and again.
+    """
+    found = detect_umi(reads, config).select("read_id", "ord", F.coalesce("umi.normalized", "umi.combined").alias("key"), F.col("umi.strand").alias("strand"))
+    path = round_folder(reads.sparkSession)
+    found.write.parquet(path)
+    found = reads.sparkSession.read.schema(found.schema).parquet(path)
     return family_filter(families_approx(found, most), min_reads, max_reads, balance)

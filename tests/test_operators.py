@@ -80,6 +80,19 @@ def test_detect_umi_both_strands():
     assert umi.detect("A" * 500, 20, c) is None
 
 
+def test_umi_pipeline_groups_reads_of_one_molecule(spark):
+    c = umi.UmiConfig("AAGCAGTGGTATCAACGCAGAGT", "TTCGATCGGCATTACGGATCCAA", "NNNYRNNNYR", "NNNYRNNNYR", min_umi=10, max_umi=14)
+
+    def read(fwd, rev):
+        return "CC" + c.fwd_context + fwd + "ACGT" * 100 + c.rev_context + rev + "GG"
+
+    one, other = read("ACGTACGTCA", "GGGCATTTCA"), read("TTTCGAAACG", "CCCTACCCTG")
+    rows = [("r0", 0, one), ("r1", 1, other), ("r2", 2, one), ("r3", 3, one), ("r4", 4, "A" * 500), ("r5", 5, None)]
+    reads = spark.createDataFrame(rows, "read_id string, ord long, seq string").withColumn("mean_q", F.lit(20.0))
+    got = {r.read_id: (r.family, r.written) for r in umi.umi_pipeline(reads, c, 2, 2, 2).collect()}
+    assert got == {"r0": (0, True), "r2": (0, True), "r3": (0, False), "r1": (1, False)}
+
+
 def test_consensus():
     assert consensus.align_to("ACGTAC", "ACTAC", 2) == "AC-TAC"
     seq, q = consensus.vote(["ACGTACGT", "ACGTACGT", "ACGAACGT"])
