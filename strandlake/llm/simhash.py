@@ -8,6 +8,9 @@ bits in a segment, both enumerate the ball of one bit, which costs 33 keys each
 
 Equal fingerprints are one node, so copies cost nothing, and the members of one table entry are linked by a spanning
 forest: links that would only join what is joined already are not emitted, and no pair of a large group need be.
+
+Wide fingerprints only find candidates: nodes are equal sets of shingles, the tables join all that are loosely near, and
+within each group so joined the Jaccard similarity of the whole sets decides each link.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .components import components
 SEED = 42
 #: Steps of the public splitmix64 generator, which spread a hash over more bits.
 GAMMA, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Low bits of a shingle hash by which similar looks for sets that may share enough.
+LOW = (1 << 20) - 1
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -85,21 +90,75 @@ def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
+def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges (row, row of its tree's root) of a spanning forest of distinct sets with a Jaccard similarity of ``least``.
+
+    As in forest, each found set only asks those that no tree has yet: by shared low bits of the hashes, which are never
+    fewer than the shared hashes, then exactly.
+    """
+    sizes = np.array([len(s) for s in sets])
+    left, edges, mark = np.flatnonzero(sizes), [], np.zeros(LOW + 1, bool)
+    lows = [(s & np.uint64(LOW)).astype(np.uint32) for s in sets]
+    flat = np.concatenate([np.zeros(0, np.uint32), *lows])
+    while len(left) > 1:
+        root, left, flat = int(left[0]), left[1:], flat[sizes[left[0]] :]
+        waiting = [root]
+        while waiting and len(left):
+            row = waiting.pop()
+            mark[lows[row]] = True
+            shared = np.add.reduceat(mark[flat], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+            mark[lows[row]] = False
+            near = shared >= least * (sizes[row] + sizes[left] - shared)
+            for k in np.flatnonzero(near).tolist():
+                both = len(np.intersect1d(sets[row], sets[left[k]], assume_unique=True))
+                near[k] = both >= least * (sizes[row] + sizes[left[k]] - both)
+            if near.any():
+                new = left[near].tolist()
+                edges += [(x, root) for x in new]
+                waiting += new
+                flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
+    return edges
+
+
+def _verified(least: float):
+    """For batches sorted by group: the links of each group's sets, as (a, b) node ids."""
+
+    def runs(table: pa.Table):
+        group = table["group"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        a, b = [], []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            own = dict(zip(table["node"][s:e].to_pylist(), table["shingles"][s:e].to_pylist(), strict=True))
+            node = list(own)
+            for x, y in similar([np.frombuffer(v, "<u8") for v in own.values()], least):
+                a.append(node[x])
+                b.append(node[y])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _by_run("group", runs)
+
+
 def _linked(most: int):
     """For batches sorted by (table, key): the forests of each run of equal keys, as (a, b) node ids."""
+    return _by_run("key", lambda table: _runs(table, most))
+
+
+def _by_run(column: str, runs):
+    """A function over batches sorted by ``column`` that hands ``runs`` whole runs of equal values."""
 
     def link(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            key = table["key"].to_numpy()
+            key = table[column].to_numpy()
             if len(key):
                 other = np.flatnonzero(key != key[-1])
                 last = int(other[-1]) + 1 if len(other) else 0
                 held = table.slice(last)
-                yield from _runs(table.slice(0, last), most)
+                if last:
+                    yield from runs(table.slice(0, last))
         if held is not None:
-            yield from _runs(held, most)
+            yield from runs(held)
 
     return link
 
@@ -129,16 +188,20 @@ def _runs(table: pa.Table, most: int):
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, probes: int = 0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, print, node) of every whole text; ``print`` is 8 * words bytes, little-endian, zero for a text without words.
 
-    ``node`` is a 64-bit print as a long, of wider ones a hash. With ``probes`` there is also ``keys``: the table keys of
-    segments of 24 bits, each with up to two of its ``probes`` least certain bits (nearest to half the votes) flipped.
+    ``node`` is a 64-bit print as a long. Wider prints are of distinct shingles, and ``node`` is a hash of their set. With
+    ``probes`` there is also ``keys``: the table keys of segments of 24 bits, each with up to two of its ``probes`` least
+    certain bits (nearest to half the votes) flipped. Equal nodes have equal keys.
     """
 
     def make(batches):
         for batch in slices(batches):
-            votes = np.stack([bit_votes(shingle_hashes(t, shingle), words) for t in batch["text"].to_pylist()])
+            hashes = [shingle_hashes(t, shingle) for t in batch["text"].to_pylist()]
+            if words > 1:
+                hashes = [np.unique(h) for h in hashes]
+            votes = np.stack([bit_votes(h, words) for h in hashes])
             prints = np.packbits(votes > 0, axis=1, bitorder="little")
             raw = [p.tobytes() for p in prints]
-            node = prints.view("<i8")[:, 0] if words == 1 else np.array([xxhash.xxh64_intdigest(p) for p in raw], np.uint64).view(np.int64)
+            node = prints.view("<i8")[:, 0] if words == 1 else np.array([set_node(h) for h in hashes], np.int64)
             columns = [batch["doc_id"], pa.array(raw, pa.binary()), pa.array(node, pa.int64())]
             if probes:
                 columns.append(pa.array(list(_probed(votes, probes)), pa.list_(pa.int64())))
@@ -147,6 +210,22 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, probes: int = 0,
     return texts(docs, id_col, text_col).mapInArrow(make, "doc_id long, print binary, node long" + ", keys array<long>" * bool(probes))
 
 
+def set_node(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a sorted set of hashes."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes())).astype(np.int64))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, shingles) of every whole text: its sorted distinct shingle hashes, 8 bytes each, little-endian."""
+
+    def make(batches):
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_node(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["node", "shingles"])
+
+    return texts(docs, id_col, text_col).mapInArrow(make, "node long, shingles binary")
+
+
 def _probed(votes: np.ndarray, probes: int) -> np.ndarray:
     width, out = 24, []
     for seg in range(votes.shape[1] // width):
@@ -165,12 +244,24 @@ def _ball_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "print", F.explode(F.concat(ball(high, 0), ball(low, 1))).alias("key"))
 
 
-def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 4, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges of the same components: each node keeps its smallest neighbour, which its other smaller ones are linked to.
+
+    The forests link a node once a table key at most, so what is collected of a node is no longer than its keys.
+    """
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    own = down.groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("others"))
+    return own.select(F.explode(F.array_append("others", F.col("a"))).alias("a"), "b").where("a != b").distinct()
+
+
+def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest id of the rows linked directly or through others.
 
     With ``words`` of 1, fingerprints have 64 bits and link at ``most`` (two to four) differing bits; every such link is
-    found. With more, they have 64 bits a word and by default link where a similarity of the shingle sets of 0.8 is
-    expected; the tables then probe the uncertain bits of 24-bit segments, which finds a link with a chance (README).
+    found. With more, texts link where the Jaccard similarity of their whole shingle sets is ``least`` or more. Fingerprints
+    of 64 bits a word find the candidates: tables probe the uncertain bits of 24-bit segments and keep what differs in at
+    most ``most`` bits, by default far more than a similarity of 0.8 gives; a link is found with a chance (README). One task
+    holds the sets of one group of candidates.
 
     Texts are whole; a null text is empty, and texts without words share the zero fingerprint, linked like any other.
     Equal rows count once each; a null id stays null and belongs to its text's component, of which it is never the
@@ -178,7 +269,7 @@ def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: in
     """
     path = scratch(docs.sparkSession, "simhash")
     exact = words == 1
-    most = (4 if exact else round(0.165 * 64 * words)) if most is None else most
+    most = (4 if exact else round(0.235 * 64 * words)) if most is None else most
     if exact and not 0 <= most <= 4:
         raise ValueError("the two-segment tables hold links of at most four differing bits")
     prints = written(fingerprints(docs, shingle, words, 0 if exact else probes, id_col=id_col, text_col=text_col), f"{path}/prints")
@@ -186,6 +277,10 @@ def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: in
     nodes = written(nodes, f"{path}/nodes")
     keyed = _ball_keys(nodes) if exact else nodes.select("node", "print", F.explode("keys").alias("key"))
     edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linked(most), "a long, b long").distinct()
+    if not exact:
+        near = components(contracted(edges)).withColumnRenamed("component", "group")
+        held = shingle_sets(docs, shingle, id_col=id_col, text_col=text_col).join(near, "node")
+        edges = held.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_verified(least), "a long, b long")
     of_node = nodes.select("node", "print", "least").join(components(edges), "node", "left").select("node", "print", "least", F.coalesce("component", "node").alias("component"))
     smallest = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(of_node.join(smallest, "component").select("node", "print", "component_id"), f"{path}/named")

@@ -181,6 +181,43 @@ def test_forest_joins_what_is_near():
     assert len(edges) < 80
 
 
+def test_near_links_are_verified(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(6))
+    texts = []
+    for changed in (8, 11):  # of 404 words: Jaccard similarities of 0.82 and 0.76
+        for _ in range(30):
+            w = [word() for _ in range(404)]
+            v = list(w)
+            for at in rnd.sample(range(6, 398, 7), changed):
+                v[at] = word()
+            texts += [" ".join(w), " ".join(v)]
+    texts += ["a b c d e f " * 3, "A b c  d e f " * 3, "", "one two"]
+    sets = [set(np.unique(simhash.shingle_hashes(t, 5)).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            comp[b] = comp[a]
+    assert sum(c != k for k, c in enumerate(comp)) == 31
+    got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(comp))
+
+
+def test_similar_sets_are_those_of_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 60), False), rng.integers(0, 2**63, rng.integers(0, 5)).astype(np.uint64)])) for _ in range(70)] + [np.zeros(0, np.uint64)]
+    root = list(range(71))
+    for a, b in simhash.similar(sets, 0.8):
+        root[a] = b
+    brute = list(range(71))
+    for a, b in itertools.combinations(range(71), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and both:
+            brute = [brute[a] if x == brute[b] else x for x in brute]
+    assert all((root[a] == root[b]) == (brute[a] == brute[b]) for a, b in itertools.combinations(range(71), 2))
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(k, k + 1) for k in range(40)] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(50)] + [(5, 5), (7, 6)]
