@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .sequence import IUPAC_BASES
 
+#: Texts are cut into pieces of so many letters, and so many pieces are stepped through at once.
+PIECE, ROWS = 1024, 4096
+
 _CODES = np.zeros(256, np.uint8)
 for _bit, _base in enumerate("ACGT"):
     _CODES[ord(_base)] = _CODES[ord(_base.lower())] = 1 << _bit
@@ -35,7 +38,23 @@ def _equal(pattern: str, iupac: bool) -> np.ndarray:
 
 
 def sellers(texts: list[str], pattern: str, iupac: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, end) of the best match of the whole pattern anywhere in each text; the leftmost end of the best."""
+    """(distance, end) of the best match of the whole pattern anywhere in each text; the leftmost end of the best.
+
+    A best stretch is at most twice as long as the pattern, so pieces that begin that much earlier see all that end in them.
+    """
+    before = 2 * len(pattern)
+    pieces = [(k, at, max(0, at - before)) for k, t in enumerate(texts) for at in range(0, max(1, len(t)), PIECE)]
+    best, end = np.full(len(texts), len(pattern), np.int16), np.zeros(len(texts), np.int64)
+    for k in range(0, len(pieces), ROWS):
+        part = pieces[k : k + ROWS]
+        found = _sellers([texts[t][start : at + PIECE] for t, at, start in part], pattern, iupac)
+        for (t, _, start), d, e in zip(part, found[0].tolist(), found[1].tolist(), strict=True):
+            if d < best[t]:
+                best[t], end[t] = d, start + e
+    return best, end
+
+
+def _sellers(texts: list[str], pattern: str, iupac: bool) -> tuple[np.ndarray, np.ndarray]:
     data, lengths = _encoded(texts)
     cost, m = _equal(pattern, iupac), len(pattern)
     column = np.broadcast_to(np.arange(m + 1, dtype=np.int16), (len(data), m + 1)).copy()
@@ -70,7 +89,7 @@ def semiglobal_find(pattern: str, most: int):
         texts = text.fillna("").tolist()
         best, end = sellers(texts, pattern)
         # the start: match the reversed pattern backwards from the end and take the nearest end at the same distance
-        back = [t[:e][::-1][: len(pattern) + most] for t, e in zip(texts, end.tolist(), strict=True)]
+        back = [t[max(0, e - len(pattern) - most) : e][::-1] for t, e in zip(texts, end.tolist(), strict=True)]
         start = end - _anchored(back, pattern[::-1], best)
         out = pd.DataFrame({"dist": best, "start": start, "end": end}).astype("Int32")
         return out.where(pd.Series((best <= most) & text.notna().to_numpy()), pd.NA)

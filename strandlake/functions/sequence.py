@@ -84,9 +84,10 @@ def semiglobal_native(text: Column, pattern: str, most: int) -> Column:
     n = len(pattern)
 
     def tries(width: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.levenshtein(F.substr(text, i, F.lit(width)), F.lit(pattern), most))
+        return F.transform(kmers(text, width), lambda w: F.levenshtein(w, F.lit(pattern), most))
 
-    return F.array_min(F.filter(F.concat(*(tries(w) for w in range(max(0, n - most), n + most + 1))), lambda d: d >= 0))
+    none = [F.when(text.isNotNull(), F.array(F.lit(n)))] if n <= most else []
+    return F.array_min(F.filter(F.concat(*none, *(tries(w) for w in range(max(1, n - most), n + most + 1))), lambda d: d >= 0))
 
 
 def kmers(text: Column, k: int) -> Column:

@@ -174,14 +174,14 @@ def fuzzy_contains(spark, d):
 def semiglobal_distance(spark, d):
     from ..functions.alignment import semiglobal_distance as distance
 
-    return derive.reads(spark, d).select("read_id", distance(PRIMER, 3)(F.substring("seq", 1, 60)).alias("dist"))
+    return derive.reads(spark, d).select("read_id", distance(PRIMER, 3)(F.col("seq")).alias("dist"))
 
 
 @query(f"""WITH t AS (SELECT read_id, substr(seq, 1, 60) AS t FROM {READS}),
     x AS (SELECT read_id, levenshtein(substr(t, CAST(i AS BIGINT), CAST(w AS BIGINT)), '{PRIMER}') AS d FROM t, LATERAL (SELECT unnest(range(1, length(t) + 2)) AS i), (SELECT unnest(range(9, 16)) AS w))
     SELECT read_id, CASE WHEN min(d) <= 3 THEN CAST(min(d) AS INTEGER) END AS dist FROM x GROUP BY read_id""")
 def semiglobal_native(spark, d):
-    return derive.reads(spark, d).select("read_id", S.semiglobal_native(F.substring("seq", 1, 60), PRIMER, 3).alias("dist"))
+    return derive.reads(spark, d).select("read_id", S.semiglobal_native(F.col("seq"), PRIMER, 3).alias("dist"))
 
 
 @query(f"""WITH t AS (SELECT read_id, substr(seq, 1, 60) AS t FROM {READS}),
@@ -190,7 +190,7 @@ def semiglobal_native(spark, d):
 def semiglobal_find(spark, d):
     from ..functions.alignment import semiglobal_find as find
 
-    return derive.reads(spark, d).select("read_id", find(PRIMER, 3)(F.substring("seq", 1, 60)).alias("h")).where("h.dist IS NOT NULL").select("read_id", "h.dist", "h.end")
+    return derive.reads(spark, d).select("read_id", find(PRIMER, 3)(F.col("seq")).alias("h")).where("h.dist IS NOT NULL").select("read_id", "h.dist", "h.end")
 
 
 @query()
