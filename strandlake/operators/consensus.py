@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,34 +31,50 @@ def consensus_medoid(members: DataFrame, prefix: int = 75) -> DataFrame:
 def align_to(anchor: str, query: str, band: int | None = None) -> str | None:
     """The query's letter, or -, under each of the anchor's; None if the band doesn't hold the end.
 
-    Rows are anti-chains of the matrix: each row is computed at once but for gaps along it, a running maximum.
+    Each row of the matrix is computed at once but for gaps along it, a running maximum. Scores are held less the gaps that
+    lead to their place, so a gap adds nothing. Only about the root of all rows is held, and only the band of each: every
+    so many rows one is kept, from which the way back computes the rows of its block again.
     """
     a, q = (np.frombuffer(s.upper().encode(), np.uint8) for s in (anchor, query))
     n, m = len(a), len(q)
     if band is not None and abs(n - m) > band:
         return None
-    low = -(1 << 28)
-    steps = np.arange(m + 1) * GAP
-    rows = np.full((n + 1, m + 1), low, np.int32)
-    rows[0] = steps
+    low, width, block = -(1 << 28), m if band is None else band, max(1, math.isqrt(n))
+    gains = {c: np.where(q == c, MATCH - 2 * GAP, MISMATCH - 2 * GAP).astype(np.int32) for c in set(a.tolist())}
+    letters = a.tolist()
+
+    def bounds(i: int) -> tuple[int, int]:
+        return (0, m) if band is None else (max(0, i - width), min(m, i + width))
+
+    def after(i: int, last: np.ndarray) -> np.ndarray:
+        """Row i within its bounds, from the row before it within its own."""
+        (lo, hi), (was_lo, was_hi) = bounds(i), bounds(i - 1)
+        row = np.full(hi - lo + 1, low, np.int32)
+        row[: was_hi - lo + 1] = last[lo - was_lo :]
+        first = max(lo, was_lo + 1)
+        to = row[first - lo : min(hi, was_hi + 1) - lo + 1]
+        np.maximum(to, last[first - 1 - was_lo :][: len(to)] + gains[letters[i - 1]][first - 1 :][: len(to)], out=to)
+        return np.maximum.accumulate(row, out=row)
+
+    row = np.zeros(bounds(0)[1] + 1, np.int32)
+    kept = [row]
     for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int64)
-        row[0] = i * GAP
-        row[1:] = np.maximum(rows[i - 1, :-1] + np.where(q == a[i - 1], MATCH, MISMATCH), rows[i - 1, 1:] + GAP)
-        if band is not None:
-            outside = np.abs(np.arange(m + 1) - i) > band
-            row[outside] = low
-        row = np.maximum.accumulate(row - steps) + steps
-        if band is not None:
-            row[outside] = low
-        rows[i] = np.maximum(row, low)
-    out, i, j = ["-"] * n, n, m
+        row = after(i, row)
+        if i % block == 0:
+            kept.append(row)
+    out, i, j, rows, base = ["-"] * n, n, m, [], n + 1
     while i and j:
-        score = rows[i, j]
-        if score == rows[i - 1, j - 1] + (MATCH if a[i - 1] == q[j - 1] else MISMATCH):
+        if i - 1 < base:
+            base = (i - 1) // block * block
+            rows = [kept[base // block]]
+            for k in range(base + 1, i + 1):
+                rows.append(after(k, rows[-1]))
+        (lo, _), (was_lo, was_hi) = bounds(i), bounds(i - 1)
+        score, last = rows[i - base][j - lo], rows[i - 1 - base]
+        if score == last[j - 1 - was_lo] + gains[letters[i - 1]][j - 1]:
             i, j = i - 1, j - 1
             out[i] = query[j]
-        elif score == rows[i - 1, j] + GAP:
+        elif j <= was_hi and score == last[j - was_lo]:
             i -= 1
         else:
             j -= 1
@@ -76,14 +94,14 @@ def vote(sequences: list[str], band: int | None = None) -> tuple[str, list[int]]
     return "".join(letters), quality
 
 
-def consensus_vote(members: DataFrame, band: int = 64, longest: int = 20_000) -> DataFrame:
+def consensus_vote(members: DataFrame, band: int = 64) -> DataFrame:
     """family, sequence (gaps left out), quality (ASCII), n: majority vote over alignments to each family's longest read.
 
     A family is one group; family_filter bounds its reads, so it is no unbounded one.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        letters, quality = vote([s[:longest] for s in group.sort_values("ord")["seq"]], band)
+        letters, quality = vote(group.sort_values("ord")["seq"].tolist(), band)
         kept = [(c, q) for c, q in zip(letters, quality, strict=True) if c != "-"]
         return pd.DataFrame({"family": [group["family"].iloc[0]], "sequence": ["".join(c for c, _ in kept)], "quality": ["".join(chr(33 + q) for _, q in kept)], "n": [len(group)]})
 

@@ -810,15 +810,13 @@ def consensus_medoid(spark, d):
 
 @query()
 def consensus_vote(spark, d):
-    short = _filtered(spark, d).where("written").withColumn("seq", F.substring("seq", 1, 80))
-    return consensus.consensus_vote(short, band=40)
+    return consensus.consensus_vote(_filtered(spark, d).where("written"), band=40)
 
 
 @query(f"""{FILTERED}, b AS (SELECT family, CAST(p AS INTEGER) - 1 AS col, substr(seq, CAST(p AS BIGINT), 1) AS base FROM w JOIN (SELECT read_id, substr(seq, 1, 50) AS seq FROM {READS}) AS r USING (read_id), LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS p)),
     c AS (SELECT family, col, base, count(*) AS n FROM b GROUP BY 1, 2, 3) SELECT family, col, base, n AS support FROM c QUALIFY row_number() OVER (PARTITION BY family, col ORDER BY n DESC, instr('ACGT-', base) DESC) = 1""")
 def column_votes(spark, d):
-    f = _filtered(spark, d).withColumn("seq", F.substring("seq", 1, 50))
-    return consensus.column_votes(consensus.read_columns(f)).select("family", "col", "base", "support")
+    return consensus.column_votes(consensus.read_columns(_filtered(spark, d))).select("family", "col", "base", "support")
 
 
 # --- discovery, structure, variants

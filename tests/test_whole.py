@@ -60,3 +60,46 @@ def test_long_texts_are_matched_across_pieces():
                 last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (c != p))
             best = min(best, (row[12], j))
         assert (d, e) == best
+
+
+def test_consensus_votes_over_whole_reads(spark, tables):
+    path, c = tables
+    members = c.execute(f"{Q.FILTERED} SELECT family, list(seq ORDER BY ord) FROM w JOIN {Q.READS} USING (read_id, ord) WHERE written GROUP BY family").fetchall()
+    want = {f: consensus.vote(seqs)[0].replace("-", "") for f, seqs in members}
+    assert {r[0]: r[1] for r in got(spark, tables, "consensus_vote")} == want
+    assert max(map(len, want.values())) > 300
+
+
+def test_column_votes_over_whole_reads(spark, tables):
+    found = got(spark, tables, "column_votes")
+    assert rows(found) == rows(wanted(tables, "column_votes", "substr(seq, 1, 50)", "seq"))
+    assert max(r[1] for r in found) > 300
+
+
+def test_long_reads_are_voted_whole(spark):
+    rnd = random.Random(6)
+    seq = "".join(rnd.choices("ACGT", k=24_000))
+    reads = [(1, k, seq[: 6_000 * k] + seq[6_000 * k + k :]) for k in range(4)]
+    assert consensus.consensus_vote(spark.createDataFrame(reads, "family long, ord long, seq string")).first()["sequence"] == seq
+
+
+def test_alignment_is_that_of_the_whole_matrix():
+    rnd = random.Random(7)
+    for _ in range(300):
+        a = "".join(rnd.choices("ACGT", k=rnd.randint(0, 30)))
+        q = "".join(c for c in a if rnd.random() > 0.2) if rnd.random() < 0.5 else "".join(rnd.choices("ACGT", k=rnd.randint(0, 30)))
+        n, m = len(a), len(q)
+        s = [[-2 * (i + j) for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                s[i][j] = max(s[i - 1][j - 1] + (1 if a[i - 1] == q[j - 1] else -1), s[i - 1][j] - 2, s[i][j - 1] - 2)
+        out, i, j = ["-"] * n, n, m
+        while i and j:
+            if s[i][j] == s[i - 1][j - 1] + (1 if a[i - 1] == q[j - 1] else -1):
+                i, j = i - 1, j - 1
+                out[i] = q[j]
+            elif s[i][j] == s[i - 1][j] - 2:
+                i -= 1
+            else:
+                j -= 1
+        assert consensus.align_to(a, q) == "".join(out) == consensus.align_to(a, q, 30)
