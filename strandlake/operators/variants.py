@@ -20,7 +20,8 @@ def pileup_bases(alignments: DataFrame) -> DataFrame:
         return F.struct((a.r + F.when(on_ref, c.n).otherwise(0)).alias("r"), (a.q + F.when(on_query, c.n).otherwise(0)).alias("q"), F.when(c.op.isin("M", "=", "X"), F.concat(a.blocks, F.array(block))).otherwise(a.blocks).alias("blocks"))
 
     blocks = alignments.select("chrom", "seq", F.explode(F.aggregate(parse_cigar(F.col("cigar")), zero, step, lambda a: a.blocks)).alias("b"))
-    return blocks.select("chrom", "seq", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("i")).select("chrom", (F.col("b.r") + F.col("i") + 1).alias("pos"), F.upper(F.substr("seq", (F.col("b.q") + F.col("i") + 1).cast("int"), F.lit(1))).alias("base")).where("base != ''")
+    letters = F.split(F.upper(F.substr("seq", (F.col("b.q") + 1).cast("int"), F.col("b.n"))), "")
+    return blocks.select("chrom", F.col("b.r").alias("r"), F.posexplode(letters).alias("i", "base")).where("base != ''").select("chrom", (F.col("r") + F.col("i") + 1).alias("pos"), "base")
 
 
 def pileup_variants(bases: DataFrame, min_depth: int = 10, min_af: float = 0.02) -> DataFrame:

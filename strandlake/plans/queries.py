@@ -879,7 +879,7 @@ def sv_matrix(spark, d):
     r AS (SELECT *, sum(n) OVER (PARTITION BY chrom, pos) AS depth, first_value(base) OVER (PARTITION BY chrom, pos ORDER BY n DESC, base) AS ref FROM c)
     SELECT chrom, pos, ref, base AS alt, round(n / depth, 9) AS af, CAST(depth AS BIGINT) AS depth FROM r WHERE depth >= 10 AND base <> ref AND n / depth >= 0.2""")
 def pileup_variants(spark, d):
-    a = derive.reads(spark, d).where("length > 0").select(F.col("sample").alias("chrom"), F.lit(0).cast("long").alias("pos"), F.concat(F.least("length", F.lit(40)).cast("string"), F.lit("M")).alias("cigar"), F.substring("seq", 1, 40).alias("seq"))
+    a = derive.reads(spark, d).where("length > 0").select(F.col("sample").alias("chrom"), F.lit(0).cast("long").alias("pos"), F.concat(F.col("length").cast("string"), F.lit("M")).alias("cigar"), "seq")
     return variants.pileup_variants(variants.pileup_bases(a), 10, 0.2).withColumn("af", F.round("af", 9))
 
 

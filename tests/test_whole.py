@@ -103,3 +103,9 @@ def test_alignment_is_that_of_the_whole_matrix():
             else:
                 j -= 1
         assert consensus.align_to(a, q) == "".join(out) == consensus.align_to(a, q, 30)
+
+
+def test_pileup_of_whole_reads(spark, tables):
+    found = got(spark, tables, "pileup_variants")
+    assert rows(found) == rows(wanted(tables, "pileup_variants", "least(length(seq), 40)", "length(seq)"))
+    assert max(r[1] for r in found) > 60
