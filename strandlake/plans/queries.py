@@ -941,7 +941,7 @@ def handoff_join(spark, d):
 
 @query(f"SELECT chrom, pos, alt FROM ({V}) WHERE pos < 50 ORDER BY chrom, pos, alt")
 def sort_outputs(spark, d):
-    return variants.sort_variants(_variants(spark, d).where("pos < 50")).select("chrom", "pos", "alt")
+    return variants.sort_variants(_variants(spark, d)).select("chrom", "pos", "alt")
 
 
 @query("SELECT user_id AS barcode, max(event_id) AS generation FROM events GROUP BY user_id")

@@ -109,3 +109,10 @@ def test_pileup_of_whole_reads(spark, tables):
     found = got(spark, tables, "pileup_variants")
     assert rows(found) == rows(wanted(tables, "pileup_variants", "least(length(seq), 40)", "length(seq)"))
     assert max(r[1] for r in found) > 60
+
+
+def test_all_variants_are_sorted(spark, tables):
+    found = got(spark, tables, "sort_outputs")
+    # rows that only differ in columns left out may come in any order, but are equal
+    assert found == wanted(tables, "sort_outputs", " WHERE pos < 50", "")
+    assert len(found) == 300
