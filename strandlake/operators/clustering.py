@@ -9,18 +9,23 @@ moved by at most k places), so no pair of keys without a common piece is formed.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import scratch, written
+
 
-def round_folder(spark: SparkSession) -> str:
-    """A fresh path below the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/strandlake-rounds/{uuid.uuid4().hex}"
+def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
+    """Consecutive numbers from 0 in a total order, without moving all rows to one task: counts of range partitions come first.
+
+    The ranges are written once, so both passes see the same ones.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = written(ranged, scratch(df.sparkSession, "numbered"))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))  # a row a partition
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn("__k", within).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__part", "__k", "__before")
 
 
 def edit_neighbours(keys: DataFrame, most: int) -> DataFrame:
@@ -50,13 +55,12 @@ def first_centres(keys: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round ends in a table, so its plan doesn't grow. A chain of n neighbours needs about n / 2 rounds.
     """
-    spark, folder, k = keys.sparkSession, round_folder(keys.sparkSession), 0
+    folder, k = scratch(keys.sparkSession, "rounds"), 0
 
     def kept(df: DataFrame) -> DataFrame:
         nonlocal k
         k += 1
-        df.write.parquet(f"{folder}/{k}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{k}")
+        return written(df, f"{folder}/{k}")
 
     edges = kept(edges)
     waiting = kept(keys.select("key", "ord"))
@@ -95,16 +99,7 @@ def near_neighbours(points: DataFrame, coordinates: list[str], within: int) -> D
 
 def position_clusters(pairs: DataFrame, within: int = 50, k: int = 50) -> DataFrame:
     """(start, end, count) clustered by place, most frequent first: the k clusters with the most reads."""
-    order = F.row_number().over(_by_count()).cast("long")
-    points = pairs.withColumn("ord", order).withColumn("key", F.concat_ws("-", "start", "end"))
+    points = numbered(pairs, F.desc("count"), "start", "end", name="ord").withColumn("key", F.concat_ws("-", "start", "end"))
     merged = first_centres(points, near_neighbours(points, ["start", "end"], within)).join(points.select("key", "count"), "key")
     return merged.groupBy("centre").agg(F.sum("count").alias("count"), F.count("*").alias("members")).orderBy(F.desc("count"), "centre").limit(k)
 
-
-def _by_count():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("count"), "start", "end")
-
-
-Predicate = Callable[[Column, Column], Column]

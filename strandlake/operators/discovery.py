@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alignment import semiglobal_find
 from ..functions.sequence import kmers, reverse_complement
-from .clustering import star_clusters
+from .clustering import numbered, star_clusters
 
 
 def end_signatures(reads: DataFrame, k: int = 30, skip: int = 0) -> DataFrame:
@@ -26,7 +26,7 @@ def signature_pairs(reads: DataFrame, k: int = 30, top: int = 200) -> DataFrame:
 
 def cluster_kmers(counts: DataFrame, most: int = 3) -> DataFrame:
     """(key, count) clustered greedily, most frequent first: centre, count, members."""
-    ranked = counts.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("count"), "key")).cast("long"))
+    ranked = numbered(counts, F.desc("count"), "key", name="ord")
     merged = star_clusters(ranked.select("key", "ord"), most).join(counts, "key")
     return merged.groupBy("centre").agg(F.sum("count").alias("count"), F.count("*").alias("members"))
 

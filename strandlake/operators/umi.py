@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.alignment import iupac_distance
 from ..functions.sequence import IUPAC_BASES
-from .clustering import round_folder, star_clusters
+from ..shared import scratch, written
+from .clustering import numbered, star_clusters
 
 #: Fixed values of the method: the stretch that a window must share with an anchor, and the length changes tried in turn.
 GATE, DELTAS = 8, (0, -2, 2, -4, 4)
@@ -139,7 +140,7 @@ def detect_umi(reads: DataFrame, config: UmiConfig) -> DataFrame:
 def families_exact(keyed: DataFrame) -> DataFrame:
     """``keyed`` (key, ord, ...) with family, from 0 in order of first arrival; rows without a key are dropped."""
     own = keyed.where("key IS NOT NULL")
-    numbers = _numbered(own.groupBy("key").agg(F.min("ord").alias("first_ord")), "first_ord")
+    numbers = numbered(own.groupBy("key").agg(F.min("ord").alias("first_ord")), "first_ord", name="family")
     return own.join(numbers.select("key", "family"), "key")
 
 
@@ -147,7 +148,7 @@ def families_approx(keyed: DataFrame, most: int) -> DataFrame:
     """As families_exact, of keys within ``most`` edits of the family's first: greedy, in order of arrival."""
     own = keyed.where("key IS NOT NULL")
     clusters = star_clusters(own.groupBy("key").agg(F.min("ord").alias("ord")), most)
-    numbers = _numbered(clusters.groupBy("centre").agg(F.min("centre_ord").alias("first_ord")), "first_ord")
+    numbers = numbered(clusters.groupBy("centre").agg(F.min("centre_ord").alias("first_ord")), "first_ord", name="family")
     named = clusters.join(numbers, "centre").select("key", "family", F.col("centre").alias("consensus_umi"))
     return own.join(named, "key")
 
@@ -158,15 +159,6 @@ def families_identity(keyed: DataFrame, identity: float) -> DataFrame:
     return families_approx(keyed, int(longest * (1 - identity) + 1e-9))
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """Consecutive numbers by ``order`` without moving all rows to one task: counts of range partitions come first."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.withColumn("k", within).join(F.broadcast(before.select("__part", "before")), "__part").withColumn("family", F.col("before") + F.col("k")).drop("__part", "k", "before")
-
-
 def family_filter(members: DataFrame, min_reads: int, max_reads: int, balance: bool = False) -> DataFrame:
     """``members`` (family, ord, strand) with family_reads, passing and written.
 
@@ -233,7 +225,5 @@ def umi_pipeline(reads: DataFrame, config: UmiConfig, most: int, min_reads: int,
     What is detected is written once to the shared folder, without the sequences, as clustering reads it again and again.
     """
     found = detect_umi(reads, config).select("read_id", "ord", F.coalesce("umi.normalized", "umi.combined").alias("key"), F.col("umi.strand").alias("strand"))
-    path = round_folder(reads.sparkSession)
-    found.write.parquet(path)
-    found = reads.sparkSession.read.schema(found.schema).parquet(path)
+    found = written(found, scratch(reads.sparkSession, "umi"))
     return family_filter(families_approx(found, most), min_reads, max_reads, balance)
