@@ -1,37 +1,54 @@
-"""Shared folder handling and small DataFrame helpers."""
+"""Files in the shared folder and small DataFrame helpers."""
 
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import fresh, scratch, written
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/strandlake-shared"
-        os.makedirs(root.removeprefix("file://"), exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["fetch", "fresh", "put", "released", "scratch", "settle", "slices", "store", "texts", "written"]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+def store(path: str):
+    """(Arrow file system, path in it) of a folder that tasks read and write files in themselves."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as Parquet and read again: its lineage ends at files that outlive any executor."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def put(path: str, data: bytes) -> None:
+    """A file at ``path`` that appears only when it is whole, so a task can run twice."""
+    system, at = store(path)
+    folder, _, name = at.rpartition("/")
+    system.create_dir(folder, recursive=True)
+    aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as f:
+        f.write(data)
+    settle(system, aside, at)
+
+
+def settle(system, aside: str, at: str) -> None:
+    """Give a whole file its name. Where a store doesn't replace files, one that another run of the task left there stays: it is the same."""
+    from pyarrow import fs
+
+    try:
+        system.move(aside, at)
+    except OSError:
+        if system.get_file_info(at).type != fs.FileType.File:
+            raise
+        system.delete_file(aside)
+
+
+def fetch(path: str) -> bytes:
+    system, at = store(path)
+    with system.open_input_file(at) as f:
+        return f.read()
 
 
 def released(cache: Callable):

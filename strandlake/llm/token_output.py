@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import texts
+from ._common import settle, texts
+from ._common import store as store_of
 from .unit_encoding import library_encoder
 
 MAGIC = b"PLNE"
@@ -141,12 +142,6 @@ class ShardReader:
         return np.concatenate(parts) if parts else np.zeros(0, f"<u{self.bits // 8}")
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, *, id_col: str = "doc_id", text_col: str = "text", kind: str = "bit", block_tokens: int = 1 << 16) -> list[dict]:
     """Encode every text, append ``end_id`` and write the ids in ascending id order below ``path``, a folder that all share.
 
@@ -160,7 +155,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def shard(batches):
         encoder = library_encoder(tokenizer)
-        store, folder = _store(path)
+        store, folder = store_of(path)
         name = f"shard-{TaskContext.get().partitionId():06d}.planes"
         aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
         end, writer, first, last = np.array([end_id], encoder.code), None, None, None
@@ -177,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if writer is not None:
             writer.close()
             out.close()
-            store.move(aside, f"{folder}/{name}")
+            settle(store, aside, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.n_tokens], "n_bytes": [writer.offset]})
 
     shards = [r.asDict() for r in dealt.mapInArrow(shard, "name string, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long").collect()]
@@ -186,7 +181,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         s["start"] = start
         start += s["n_tokens"]
     shards.sort(key=lambda s: s["name"])
-    store, folder = _store(path)
+    store, folder = store_of(path)
     store.create_dir(folder, recursive=True)
     with store.open_output_stream(f"{folder}/manifest.json") as f:
         f.write(json.dumps(shards).encode())
@@ -195,12 +190,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files below ``path``: doc_id, start, n_tokens, ids_crc32, shard."""
-    store, folder = _store(path)
+    store, folder = store_of(path)
     with store.open_input_stream(f"{folder}/manifest.json") as f:
         shards = json.loads(f.read())
 
     def read(batches):
-        store, folder = _store(path)
+        store, folder = store_of(path)
         for batch in batches:
             for name, start in zip(batch["name"].to_pylist(), batch["start"].to_pylist(), strict=True):
                 with store.open_input_file(f"{folder}/{name}") as f:

@@ -341,3 +341,39 @@ def test_oracles_run():
     for t in ("documents", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     assert all(len(c.sql(q).df()) for q in queries.oracle_sql().values())
+
+
+def brute_nearest(x, ids, asked, k):
+    out = []
+    for q in asked:
+        scores = np.cumsum(x.astype(float) * x[q].astype(float), axis=1)[:, -1]
+        out += [(int(ids[q]), r, int(i), float(s)) for r, (s, i) in enumerate(sorted(((s, i) for s, i in zip(scores, ids, strict=True) if i != ids[q]), key=lambda p: (-p[0], p[1]))[:k], 1)]
+    return sorted(out)
+
+
+def test_nearest_keeps_all_ties(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(700)
+    one_hot = np.eye(32, dtype=np.float32)[rng.integers(0, 32, 700)] + np.float32(0.25) * np.eye(32, dtype=np.float32)[rng.integers(0, 32, 700)]
+    hot = one_hot.copy()
+    hot[::3] = one_hot[0]  # one vector is a third of all rows
+    asked = np.flatnonzero(ids % 20 == 0)
+    for x in (one_hot, hot):
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, [1.0, 2.0])], "vec_id long, embedding array<float>").repartition(3)
+        for rows in (None, 60):
+            got = vector_search.nearest(df, df.where("vec_id % 20 = 0"), 20, 1.0, shard_rows=rows, block_rows=16).collect()
+            assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_nearest(x, ids, asked, 20)
+
+
+def test_balls_rule_out_whole_shards(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(30, 24)), 40, axis=0) + 0.05 * rng.normal(size=(1200, 24))
+    x *= rng.uniform(0.5, 40, size=(1200, 1))
+    ids = np.arange(1200)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    asked = np.flatnonzero(ids % 20 == 0)
+    exact = brute_nearest(x, ids, asked, 10)
+    got = sorted(tuple(r) for r in vector_search.nearest(df, df.where("vec_id % 20 = 0"), 10, 1.0, shard_rows=100, block_rows=30).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == exact
+    loose = {(r.query_id, r.vec_id) for r in vector_search.nearest(df, df.where("vec_id % 20 = 0"), 10, 1.3, shard_rows=100, block_rows=30).collect()}
+    assert len(loose & {(q, i) for q, _, i, _ in exact}) >= 0.9 * len(exact)
