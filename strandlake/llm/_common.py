@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import fresh, scratch, written
 
-__all__ = ["fetch", "fresh", "put", "released", "scratch", "settle", "slices", "store", "texts", "written"]
+__all__ = ["fetch", "fresh", "join_few", "located", "put", "released", "scratch", "settle", "slices", "store", "texts", "written"]
 
 
 def store(path: str):
@@ -78,9 +79,31 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only (doc_id, text) of ``docs``, whatever else it has; a null text is empty."""
+def located(docs: DataFrame, path: str, name: str) -> DataFrame:
+    """``docs`` with the file and row of each row's content as ``name``; what is not read from Parquet files is written to ``path`` first."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
+    try:
+        return docs.select("*", place)
+    except AnalysisException:
+        return written(docs, path).select("*", place)
+
+
+def join_few(rows: DataFrame, each: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``each``, which has one row a key and in ``n`` how many of ``rows`` have it; ``n`` is left out.
+
+    Keys with over a thousandth of all rows are a thousand at most, so they are broadcast and stay where they are; of the
+    others none is much of a task. Both tables should be written ones, as they are read twice.
+    """
+    total = each.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * 1000 > total
+    many, few = F.broadcast(each.where(hot).drop(n)), each.where(~hot).drop(n)
+    return rows.join(many, keys).unionByName(rows.join(many.select(*keys), keys, "left_anti").join(few, keys))
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str, place: str | None = None) -> DataFrame:
+    """Only (doc_id, text) of ``docs``, whatever else it has, and ``place`` as at; a null text is empty."""
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        *([docs[place].alias("at")] if place else []),
     )

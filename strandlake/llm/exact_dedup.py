@@ -2,8 +2,8 @@
 
 A stream of (digest, row) feeds keyed state in RocksDB, on the executors' disks and in the checkpoint. For each digest
 the state retains the stable identifier of the row that stays, the locator of its content (file and row) and how often
-the digest was seen; there is no watermark, so nothing expires. Rows that hit a known digest are then checked by their
-full bytes: a digest whose rows have more than one text is split by text.
+the digest was seen; there is no watermark, so nothing expires. Texts that hit a known digest, and only those, are then
+checked by their full bytes against the text at the locator: a digest with more than one text is split by text.
 
 Everything runs on DataFrame functions; a group of copies is folded within each task before anything is shuffled.
 """
@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, written
+from ._common import fresh, join_few, located, scratch, texts, written
 
 #: State on disk; a version adds its changes to the checkpoint, and no store allocates files ahead of what it holds.
 STORE = {
@@ -42,18 +41,6 @@ def _setting(spark: SparkSession, **keys: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-PLACE = "__place"
-
-
-def located(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with the file and row of each row's content; what is not read from Parquet files is written to ``path`` first."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(PLACE)
-    try:
-        return docs.select("*", place)
-    except AnalysisException:
-        return written(docs, path).select("*", place)
-
-
 def seen(spark: SparkSession, feed: str, checkpoint: str) -> DataFrame:
     """Run the stream over the rows at ``feed`` that it hasn't read yet; the state after it: digest, n, keep (doc_id, at).
 
@@ -74,39 +61,62 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Texts are equal when all bytes are, unchanged; a null text is empty. The row with the largest doc_id stays; a null id
     is smaller than any other, and of rows with equal ids the one with the last place stays, so a group keeps exactly
-    one row. An empty table gives no rows.
+    one row. An empty table gives no rows; other columns of ``docs`` may have any names.
     """
-    path = scratch(docs.sparkSession, "exact")
-    return _groups(located(docs, f"{path}/docs"), path, id_col, text_col)
+    path, (place,) = scratch(docs.sparkSession, "exact"), fresh(docs.columns, "at")
+    return _groups(texts(located(docs, f"{path}/docs", place), id_col, text_col, place), path)
 
 
-def _groups(rows: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    spark = rows.sparkSession
-    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(PLACE).alias("at"))
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    feed = written(rows.select(digest, "doc_id", "at"), f"{path}/feed")
-    state = seen(spark, f"{path}/feed", f"{path}/state")
+def _bits(digest: Column, buckets: int) -> tuple[Column, Column]:
+    """The bitmap of a digest among ``buckets`` ones of 32,768 bits, and its bit there."""
+    number = F.conv(F.substring(F.hex(digest), 1, 12), 16, 10).cast("long")
+    return F.pmod(F.shiftright(number, 15), F.lit(buckets)).alias("bucket"), number.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")
+
 
-    # the full bytes of every digest: one row a text and task, then the number of texts that each digest stands for
-    contents = rows.select(digest, "text").groupBy("digest", "text").agg(F.count("*").alias("n"))
-    split = contents.groupBy("digest").agg(F.count("*").alias("texts"))
-    checked = written(state.join(split, "digest"), f"{path}/checked")
+def _hit(rows: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
+    """Those of ``rows`` (digest, ...) whose digest may be in ``hits``: bitmaps of at most 32 MB go to all tasks, at any size.
+
+    A digest sets one bit of about 32 a hit. Where there are more hits than fit that, more rows pass that are no hits,
+    and only the check after this one tells them apart.
+    """
+    buckets = min(8192, 1 << max(0, (n_hits * 32 >> 15).bit_length()))
+    bucket, bit = _bits(F.col("digest"), buckets)
+    maps = hits.select(bucket, bit).groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("map"))
+    met = rows.withColumns({"bucket": bucket, "bit": bit}).join(F.broadcast(maps), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(map, bit div 8 + 1, 1)")), 16, 10).cast("int")
+    return met.where((F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)).drop("bucket", "bit", "map")
+
+
+def _groups(rows: DataFrame, path: str) -> DataFrame:
+    spark = rows.sparkSession
+    rows = rows.select(F.unhex(F.sha2("text", 256)).alias("digest"), "doc_id", "text", "at")
+    feed = written(rows.select("digest", "doc_id", "at"), f"{path}/feed")
+    state = written(seen(spark, f"{path}/feed", f"{path}/state"), f"{path}/seen")
+    hits = state.where("n > 1")
+    n_hits = hits.count()
+
+    # the bytes of hits only: equal texts fold within each task, and must be the one that the state's locator points at
+    same = F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n")
+    contents = _hit(rows, hits, n_hits).groupBy("digest", "text").agg(*same)
+    checked = contents.join(hits.select("digest", F.col("keep.at").alias("located")), "digest")
+    other = written(checked.where("keep.at != located").select("digest").distinct(), f"{path}/other")
 
     def result(members: DataFrame) -> DataFrame:
         stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("at") == F.col("keep.at"))
-        return members.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "at")
-
-    out = result(feed.join(checked.where("texts = 1"), "digest"))
-    if checked.where("texts > 1").isEmpty():
-        return out
-    clashing = rows.select(digest, "doc_id", "text", "at").join(checked.where("texts > 1").select("digest"), "digest")
-    own = clashing.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n"))
+        return members.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("group_size"), stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "at")
+
+    if other.isEmpty():
+        return result(join_few(feed, state.withColumn("group_size", F.col("n")), ["digest"], "n"))
+    sound = state.join(other, "digest", "left_anti").withColumn("group_size", F.col("n"))
+    out = result(join_few(feed.join(other, "digest", "left_anti"), sound, ["digest"], "n"))
+    clashing = rows.join(other, "digest")  # two texts of one SHA-256
+    own = clashing.groupBy("digest", "text").agg(*same).withColumnRenamed("n", "group_size")
     return out.unionByName(result(clashing.join(own, ["digest", "text"])))
 
 
 def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; cases as in exact_groups."""
-    path = scratch(docs.sparkSession, "exact")
-    rows = located(docs, f"{path}/docs")
-    kept = _groups(rows, path, id_col, text_col).where("kept").select(F.col("at").alias(PLACE))
-    return rows.join(kept, PLACE, "left_semi").select(*docs.columns)
+    path, (place,) = scratch(docs.sparkSession, "exact"), fresh(docs.columns, "at")
+    rows = located(docs, f"{path}/docs", place)
+    dropped = _groups(texts(rows, id_col, text_col, place), path).where("NOT kept").select(F.col("at").alias(place))
+    return rows.join(dropped, place, "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, slices, texts, written
+from ._common import fresh, join_few, located, scratch, slices, texts, written
 from .components import components
 
 SEED = 42
@@ -185,8 +185,8 @@ def _runs(table: pa.Table, most: int):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, probes: int = 0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print, node) of every whole text; ``print`` is 8 * words bytes, little-endian, zero for a text without words.
+def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0) -> DataFrame:
+    """(doc_id, at, print, node) of ``rows`` (doc_id, text, at); ``print`` is 8 * words bytes, little-endian, zero for a text without words.
 
     ``node`` is a 64-bit print as a long. Wider prints are of distinct shingles, and ``node`` is a hash of their set. With
     ``probes`` there is also ``keys``: the table keys of segments of 24 bits, each with up to two of its ``probes`` least
@@ -202,12 +202,12 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, probes: int = 0,
             prints = np.packbits(votes > 0, axis=1, bitorder="little")
             raw = [p.tobytes() for p in prints]
             node = prints.view("<i8")[:, 0] if words == 1 else np.array([set_node(h) for h in hashes], np.int64)
-            columns = [batch["doc_id"], pa.array(raw, pa.binary()), pa.array(node, pa.int64())]
+            columns = [batch["doc_id"], batch["at"], pa.array(raw, pa.binary()), pa.array(node, pa.int64())]
             if probes:
                 columns.append(pa.array(list(_probed(votes, probes)), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "node", "keys"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "print", "node", "keys"][: len(columns)])
 
-    return texts(docs, id_col, text_col).mapInArrow(make, "doc_id long, print binary, node long" + ", keys array<long>" * bool(probes))
+    return rows.mapInArrow(make, f"doc_id long, at {rows.schema['at'].dataType.simpleString()}, print binary, node long" + ", keys array<long>" * bool(probes))
 
 
 def set_node(hashes: np.ndarray) -> int:
@@ -215,7 +215,7 @@ def set_node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes())).astype(np.int64))
 
 
-def shingle_sets(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of every whole text: its sorted distinct shingle hashes, 8 bytes each, little-endian."""
 
     def make(batches):
@@ -223,7 +223,7 @@ def shingle_sets(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_
             sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_node(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["node", "shingles"])
 
-    return texts(docs, id_col, text_col).mapInArrow(make, "node long, shingles binary")
+    return rows.select("text").mapInArrow(make, "node long, shingles binary")
 
 
 def _probed(votes: np.ndarray, probes: int) -> np.ndarray:
@@ -265,33 +265,45 @@ def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: in
 
     Texts are whole; a null text is empty, and texts without words share the zero fingerprint, linked like any other.
     Equal rows count once each; a null id stays null and belongs to its text's component, of which it is never the
-    smallest id unless all are null.
+    smallest id unless all are null. An empty table gives no rows; other columns of ``docs`` don't matter.
     """
-    path = scratch(docs.sparkSession, "simhash")
+    rows = texts(docs, id_col, text_col).withColumn("at", F.lit(0))
+    return _groups(rows, shingle, most, words, probes, least).select("doc_id", "fingerprint", "component_id")
+
+
+def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8) -> DataFrame:
+    """groups of ``rows`` (doc_id, text, at), with at and first: the least (missing, doc_id, at) of the component."""
+    path = scratch(rows.sparkSession, "simhash")
     exact = words == 1
     most = (4 if exact else round(0.235 * 64 * words)) if most is None else most
     if exact and not 0 <= most <= 4:
         raise ValueError("the two-segment tables hold links of at most four differing bits")
-    prints = written(fingerprints(docs, shingle, words, 0 if exact else probes, id_col=id_col, text_col=text_col), f"{path}/prints")
-    nodes = prints.groupBy("node", "print").agg(F.min("doc_id").alias("least"), *([] if exact else [F.first("keys").alias("keys")]))
+    prints = written(fingerprints(rows, shingle, words, 0 if exact else probes), f"{path}/prints")
+    own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "at")
+    nodes = prints.groupBy("node", "print").agg(F.min(own).alias("least"), F.count("*").alias("copies"), *([] if exact else [F.first("keys").alias("keys")]))
     nodes = written(nodes, f"{path}/nodes")
     keyed = _ball_keys(nodes) if exact else nodes.select("node", "print", F.explode("keys").alias("key"))
     edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linked(most), "a long, b long").distinct()
     if not exact:
         near = components(contracted(edges)).withColumnRenamed("component", "group")
-        held = shingle_sets(docs, shingle, id_col=id_col, text_col=text_col).join(near, "node")
+        held = shingle_sets(rows, shingle).join(near, "node")
         edges = held.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_verified(least), "a long, b long")
-    of_node = nodes.select("node", "print", "least").join(components(edges), "node", "left").select("node", "print", "least", F.coalesce("component", "node").alias("component"))
-    smallest = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(of_node.join(smallest, "component").select("node", "print", "component_id"), f"{path}/named")
+    joined = nodes.select("node", "print", "least", "copies").join(components(edges), "node", "left")
+    of_node = written(joined.select("node", "print", "least", "copies", F.coalesce("component", "node").alias("component")), f"{path}/of-node")
+    smallest = written(of_node.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("n")), f"{path}/smallest")
+    named = written(join_few(of_node.select("node", "print", "copies", "component"), smallest, ["component"], "n").select("node", "print", "copies", "first"), f"{path}/named")
     digits = F.concat(*(F.hex(F.substring("print", k, 1)) for k in range(8 * words, 0, -1)))
-    return prints.select("doc_id", "node", "print").join(named, ["node", "print"]).select("doc_id", F.lower(digits).alias("fingerprint"), "component_id")
+    found = join_few(prints.select("doc_id", "at", "node", "print"), named, ["node", "print"], "copies")
+    return found.select("doc_id", F.lower(digits).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), "at", "first")
 
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component, the rows with its smallest id.
+    """The rows of ``docs`` that stay, with all their columns: one row of each component, the first by id, then by place.
 
-    Rows with a null id stay, as they can't be told apart; cases else as in groups.
+    Rows are told apart by the file and row of their content, so ids may repeat or be null (a null id is never first
+    unless all are null), and of equal rows one stays. Cases else as in groups; columns may have any names.
     """
-    found = groups(docs, id_col=id_col, text_col=text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    path, (place,) = scratch(docs.sparkSession, "near"), fresh(docs.columns, "at")
+    rows = located(docs, f"{path}/docs", place)
+    dropped = _groups(texts(rows, id_col, text_col, place)).where("at != first.at").select(F.col("at").alias(place))
+    return rows.join(dropped, place, "left_anti").select(*docs.columns)
