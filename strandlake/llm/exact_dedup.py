@@ -10,6 +10,7 @@ Everything runs on DataFrame functions; a group of copies is folded within each
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,9 +88,13 @@ def _hit(rows: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
     return met.where((F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)).drop("bucket", "bit", "map")
 
 
-def _groups(rows: DataFrame, path: str) -> DataFrame:
+def sha256(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _groups(rows: DataFrame, path: str, digest: Callable[[str], Column] = sha256) -> DataFrame:
     spark = rows.sparkSession
-    rows = rows.select(F.unhex(F.sha2("text", 256)).alias("digest"), "doc_id", "text", "at")
+    rows = rows.select(digest("text").alias("digest"), "doc_id", "text", "at")
     feed = written(rows.select("digest", "doc_id", "at"), f"{path}/feed")
     state = written(seen(spark, f"{path}/feed", f"{path}/state"), f"{path}/seen")
     hits = state.where("n > 1")

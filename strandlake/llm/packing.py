@@ -2,14 +2,12 @@
 
 Each partition packs its own documents, longest first, each into the fullest bin that still has room. Nearly full bins
 are finished; the others become items of their own for the next round, where a few partitions' bins meet and are packed
-best-fit again, and so on up to the root. Only bins with room travel, a few numbers for each document in them.
+best-fit again, and so on up to the root. Only bins with room travel, as their numbers and lengths.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,62 +18,41 @@ from ._common import scratch, texts, written
 from .unit_encoding import library_encoder
 
 PIECE = "struct<doc_id: long, piece: int, start: long, length: int, crc: long, offset: int>"
-BINS = f"sequence_id long, fill int, done boolean, items array<{PIECE}>"
-#: Bins with at most this much room are finished: 0.4 % of a sequence of 2048.
-SLACK = 8
-FAN_IN, ROOT_BINS = 8, 200_000
-
+#: What travels: bins that are finished or not, and where in them the bins lie that the partitions packed at first.
+BINS = "sequence_id long, fill int, parts array<struct<bin: long, at: int>>"
+FAN_IN = 8
 
-class OpenBins:
-    """Bins by the room they have, with a bitmap of the rooms that occur."""
 
-    def __init__(self, capacity: int):
-        self.capacity, self.rooms, self.by_room = capacity, 0, [[] for _ in range(capacity + 1)]
+def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit decreasing: the bin of each item, its offset there, and how full each bin is.
 
-    def add(self, fill: int, items: list) -> None:
-        """Put ``items`` (``fill`` long together) into the bin with the least room that holds them, or a new one."""
-        fitting = self.rooms >> fill
+    Bins wait by the room they have; a bitmap of the rooms that occur gives the least that is enough.
+    """
+    bin_of, offset, fills = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    rooms = 0
+    for item in np.argsort(-lengths, kind="stable").tolist():
+        length = int(lengths[item])
+        fitting = rooms >> length
         if fitting:
-            room = fill + (fitting & -fitting).bit_length() - 1
-            bins = self.by_room[room]
-            chosen = bins.pop()
-            if not bins:
-                self.rooms ^= 1 << room
-            chosen.append(items)
+            room = length + (fitting & -fitting).bit_length() - 1
+            chosen = by_room[room].pop()
+            if not by_room[room]:
+                rooms ^= 1 << room
         else:
-            room, chosen = self.capacity, [items]
-        left = room - fill
-        self.by_room[left].append(chosen)
-        self.rooms |= 1 << left
-
-    def __iter__(self):
-        for room, bins in enumerate(self.by_room):
-            for chosen in bins:
-                yield self.capacity - room, chosen
-
-
-def best_fit(items: Iterable[tuple[int, list]], capacity: int) -> OpenBins:
-    """Best-fit decreasing of (length, contents)."""
-    bins = OpenBins(capacity)
-    for fill, contents in sorted(items, key=lambda x: -x[0]):
-        bins.add(fill, contents)
-    return bins
-
-
-def _batches(bins, level: int, capacity: int, slack: int):
-    """Rows of BINS in batches; an offset for each item."""
-    base, rows = level << 58 | TaskContext.get().partitionId() << 30, []
-    schema = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("items", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("offset", pa.int32())])))])
-    for k, (fill, groups) in enumerate(bins):
-        items, offset = [], 0
-        for item in (x for g in groups for x in g):
-            items.append({**item, "offset": offset})
-            offset += item["length"]
-        rows.append({"sequence_id": base + k, "fill": fill, "done": fill >= capacity - slack, "items": items})
-        if len(rows) == 5000:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-            rows = []
-    yield pa.RecordBatch.from_pylist(rows, schema)
+            room, chosen = capacity, len(fills)
+            fills.append(0)
+        bin_of[item], offset[item] = chosen, capacity - room
+        fills[chosen] += length
+        if room > length:  # a full bin is never asked again
+            by_room[room - length].append(chosen)
+            rooms |= 1 << room - length
+    return bin_of, offset, np.array(fills, np.int64)
+
+
+def _base(level: int) -> int:
+    """The first number of a task's bins: no two tasks or rounds share any."""
+    return level << 58 | TaskContext.get().partitionId() << 30
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,57 +61,95 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only documents longer than
     ``capacity`` are cut, into pieces of that length and a last one that may be shorter. A null text is empty and is one
     token, the end id. Rows are documents of their own whether ids repeat or are null. An empty table gives no rows.
+
+    A bin is finished when no bin that is left anywhere would fit into it, so the measure of nearly full is the emptiest
+    bin's tokens. Rounds go on up to one partition, at any size: a task of theirs holds a number or two for each bin, the
+    documents stay where the first round wrote them.
     """
     path = scratch(docs.sparkSession, "packing")
+    schema = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("items", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("offset", pa.int32())])))])
 
     def encode(batches):
         encoder = library_encoder(tokenizer)
         end = np.array([end_id], encoder.code)
-        waiting = []
-
-        def full():
-            for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    ids = np.concatenate([np.frombuffer(encoder.packed(text), encoder.code), end]).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[start : start + capacity]
-                        item = {"doc_id": doc_id, "piece": piece, "start": start, "length": len(cut), "crc": zlib.crc32(cut.data)}
-                        if len(cut) == capacity:
-                            yield capacity, [[item]]
-                        else:
-                            waiting.append((len(cut), [item]))
-            yield from best_fit(waiting, capacity)
-
-        yield from _batches(full(), 0, capacity, SLACK)
-
-    def merge(level: int, slack: int):
+        base, made, rows, waiting = _base(0), 0, [], []
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                ids = np.concatenate([np.frombuffer(encoder.packed(text), encoder.code), end]).astype("<u4")
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    cut = ids[start : start + capacity]
+                    item = (doc_id, piece, start, len(cut), zlib.crc32(cut.data))
+                    if len(cut) < capacity:
+                        waiting.append(item)
+                        continue
+                    rows.append({"sequence_id": base + made, "fill": capacity, "items": [_piece(item, 0)]})
+                    made += 1
+                    if len(rows) == 5000:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+        bin_of, offset, fills = best_fit(np.array([x[3] for x in waiting], np.int64), capacity)
+        order = np.lexsort((offset, bin_of))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(bin_of, minlength=len(fills)))])
+        for k, fill in enumerate(fills.tolist()):
+            own = order[cuts[k] : cuts[k + 1]].tolist()
+            rows.append({"sequence_id": base + made + k, "fill": fill, "items": [_piece(waiting[i], int(offset[i])) for i in own]})
+            if len(rows) == 5000:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def merge(level: int):
         def run(batches):
-            # the bins of a task; their number is bounded by ROOT_BINS or by what the partitions of one node left
-            items = [(fill, contents) for batch in batches for fill, contents in zip(batch["fill"].to_pylist(), batch["items"].to_pylist(), strict=True)]
-            yield from _batches(best_fit(items, capacity), level, capacity, slack)
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            bin_of, offset, fills = best_fit(table["fill"].to_numpy().astype(np.int64), capacity)
+            parts = table["parts"].combine_chunks()
+            sizes = parts.value_lengths().to_numpy()
+            new, flat = np.repeat(bin_of, sizes), parts.flatten()
+            at = flat.field("at").to_numpy() + np.repeat(offset, sizes)
+            order = np.lexsort((at, new))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(new, minlength=len(fills)))])
+            inner = pa.StructArray.from_arrays([flat.field("bin").take(pa.array(order)), pa.array(at[order].astype(np.int32))], ["bin", "at"])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), inner)
+            out = pa.RecordBatch.from_arrays([pa.array(_base(level) + np.arange(len(fills))), pa.array(fills.astype(np.int32)), lists], ["sequence_id", "fill", "parts"])
+            for k in range(0, len(fills), 50_000):
+                yield out.slice(k, 50_000)
 
         return run
 
-    bins = written(texts(docs, id_col, text_col).mapInArrow(encode, BINS), f"{path}/0")
-    parts, level, finished, left = bins.rdd.getNumPartitions(), 0, [], None
+    packed = written(texts(docs, id_col, text_col).mapInArrow(encode, f"sequence_id long, fill int, items array<{PIECE}>"), f"{path}/0")
+    own = F.array(F.struct(F.col("sequence_id").alias("bin"), F.lit(0).alias("at")))
+    bins = packed.select("sequence_id", "fill", own.alias("parts"))
+    partitions, level, first, moved = packed.rdd.getNumPartitions(), 0, 0, None
     while True:
-        finished.append(bins.where("done"))
-        open_bins = bins.where(~F.col("done"))
-        n, least = open_bins.agg(F.count("*"), F.min("fill")).first()
-        if not n:
-            break
+        least = bins.agg(F.min("fill")).first()[0]
         # a bin that the emptiest one does not fit into can't be joined to any other
-        closed = F.col("fill") > capacity - least
-        finished.append(open_bins.where(closed))
-        n = open_bins.where(~closed).count()
-        if n < 2 or parts == 1 and level or left is not None and n > 0.98 * left and n > ROOT_BINS:
-            finished.append(open_bins.where(~closed))
+        most = capacity - (least or capacity)
+        open_bins = bins.where(F.col("fill") <= most)
+        last = open_bins.count() < 2 or (level > 0 and partitions == 1)
+        if level:
+            done = bins if last else bins.where(F.col("fill") > most)
+            done = done.select("sequence_id", F.explode("parts").alias("part")).select("sequence_id", F.col("part.bin").alias("bin"), F.col("part.at").alias("base"))
+            moved = done if moved is None else moved.unionByName(done)
+        if last:
             break
-        parts, level, left = max(1, -(-parts // FAN_IN), -(-n // ROOT_BINS)), level + 1, n
-        bins = written(open_bins.where(~closed).repartition(parts).mapInArrow(merge(level, SLACK), BINS), f"{path}/{level}")
+        first = first if level else most
+        partitions, level = -(-partitions // FAN_IN), level + 1
+        bins = written(open_bins.repartition(partitions).mapInArrow(merge(level), BINS), f"{path}/{level}")
 
-    out = finished[0]
-    for more in finished[1:]:
-        out = out.unionByName(more)
     item = F.col("item")
-    return out.select("sequence_id", F.explode("items").alias("item")).select(item.doc_id.alias("doc_id"), item.piece.alias("piece"), item.start.alias("start"), item.length.cast("long").alias("length"), item.crc.alias("ids_crc32"), "sequence_id", item.offset.cast("long").alias("offset"))
+    out = packed.where(F.col("fill") > first).select("sequence_id", F.lit(0).alias("base"), F.explode("items").alias("item"))
+    if moved is not None:
+        # the other bins of the first round: where the rounds have put them
+        held = packed.where(F.col("fill") <= first).withColumnRenamed("sequence_id", "bin").join(moved, "bin")
+        out = out.unionByName(held.select("sequence_id", "base", F.explode("items").alias("item")))
+    return out.select(
+        item.doc_id.alias("doc_id"), item.piece.alias("piece"), item.start.alias("start"), item.length.cast("long").alias("length"), item.crc.alias("ids_crc32"),
+        "sequence_id", (item.offset + F.col("base")).cast("long").alias("offset"),
+    )
+
+
+def _piece(item: tuple, offset: int) -> dict:
+    return dict(zip(("doc_id", "piece", "start", "length", "crc"), item, strict=True), offset=offset)

@@ -377,3 +377,53 @@ def test_balls_rule_out_whole_shards(spark):
     assert got == exact
     loose = {(r.query_id, r.vec_id) for r in vector_search.nearest(df, df.where("vec_id % 20 = 0"), 10, 1.3, shard_rows=100, block_rows=30).collect()}
     assert len(loose & {(q, i) for q, _, i, _ in exact}) >= 0.9 * len(exact)
+
+
+def test_packing_is_near_to_best_fit_of_all(spark):
+    rnd = random.Random(21)
+    texts = ["" if rnd.random() < 0.1 else " ".join("ab"[rnd.random() < 0.5] for _ in range(int(rnd.lognormvariate(4, 1)))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    lengths = []
+    for x in texts:
+        n = len(t.encode(x, add_special_tokens=False).ids) + 1
+        lengths += [256] * (n // 256) + [n % 256] * (n % 256 > 0)
+    whole = len(packing.best_fit(np.array(lengths), 256)[2])
+    for parts in (1, 20):
+        got = packing.pack(df.repartition(parts), P.path("word_bpe_49k.json"), 0, 256).collect()
+        bins = {}
+        for r in got:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(o == s for b in bins.values() for (o, n), s in zip(sorted(b), itertools.accumulate((n for _, n in sorted(b)), initial=0), strict=False))
+        assert sorted(r.length for r in got) == sorted(lengths) and max(sum(n for _, n in b) for b in bins.values()) <= 256
+        assert len(bins) <= 1.01 * whole + 1
+
+
+def test_best_fit_is_that_of_a_plain_search():
+    rnd = random.Random(22)
+    lengths = np.array([rnd.randint(1, 64) for _ in range(300)])
+    bin_of, offset, fills = packing.best_fit(lengths, 64)
+    plain = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        fitting = [k for k, f in enumerate(plain) if f + n <= 64]
+        if fitting:
+            plain[max(fitting, key=lambda k: plain[k])] += n
+        else:
+            plain.append(n)
+    assert sorted(fills.tolist()) == sorted(plain)
+    for b in range(len(fills)):
+        own = sorted((int(offset[i]), int(lengths[i])) for i in np.flatnonzero(bin_of == b))
+        assert [o for o, _ in own] == [0, *itertools.accumulate(n for _, n in own)][:-1]
+
+
+def test_texts_of_one_digest_are_split_by_their_bytes(spark, docs, tmp_path):
+    rows = exact_dedup.texts(exact_dedup.located(docs, f"file://{tmp_path}/docs", "place"), "doc_id", "text", "place")
+    got = exact_dedup._groups(rows, f"file://{tmp_path}/own", lambda t: F.unhex(F.sha2(F.substring(t, 1, 1), 256))).collect()
+    by_text = {}
+    for i, t in whole(docs):
+        by_text.setdefault(t, []).append(i)
+    largest = {t: max((i for i in ids if i is not None), default=None) for t, ids in by_text.items()}
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == sorted((str(i), str(largest[t]), len(ids)) for t, ids in by_text.items() for i in ids)
+    assert sum(r.kept for r in got) == len(by_text)
