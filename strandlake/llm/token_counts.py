@@ -6,14 +6,18 @@ back). So a machine that knows, for the few last places where a piece could stil
 how many tokens there were, can read one more character and say by how much the count changes. These finite states are
 built when they are first reached, and each transition is annotated with the change of the count.
 
-A space after a non-space, or a character that is spelled in bytes, puts the machine into the same state whatever came
-before. The map of a chunk (entry state -> exit state, count) is thus a short head, read from the entry state, and a
-constant. Maps compose associatively; a text's chunks are scanned in parallel-prefix order.
+A space after a non-space, or a newline where no piece has one, puts the machine into the same state whatever came
+before. So a chunk's map (entry state -> exit state, count) is constant but for its head, the characters before the
+first such place. The head is run from all states that could be the entry, as far as the text before it tells; tracks
+that meet go on as one. A state that was not among them joins the map when it is asked for. Maps compose associatively:
+a text's chunks are scanned in parallel-prefix order, and the prefix maps, applied to the start state, are the counts at
+each chunk's end. The stretches between such places, which always begin in the start state, are remembered.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import texts
-from .unit_encoding import UnitMemory, plain_units
+from .unit_encoding import UnitMemory
 
 SPACE = "▁"
 BPE_MODEL, MAX_STATES, MAX_PAIRS = 2, 200_000, 500_000
+#: Characters of a chunk, and chunks that are scanned together; between such groups the states are bounded again.
+CHUNK, GROUP = 1 << 14, 16
+#: Entry states that a chunk's head is run from at once.
+TRACKS = 8
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -51,12 +59,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Chunk(NamedTuple):
-    """A chunk's state map: read ``head`` from the entry state, then, if ``synced``, leave in ``exit`` with ``count`` more."""
+    """A chunk's state map: ``known`` entry state -> (state, count) after ``head``; ``rest`` is (exit, count) of what follows, which no entry state changes, or None where nothing does.
+
+    ``parts`` are the two chunks that were composed to this one; a single chunk has none.
+    """
 
     head: str
-    synced: bool
-    exit: int
-    count: int
+    known: dict[int, tuple[int, int]]
+    rest: tuple[int, int] | None
+    parts: tuple[Chunk, Chunk] | None = None
 
 
 class CountingTransducer:
@@ -80,18 +91,23 @@ class CountingTransducer:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.forget()
-        self.units = UnitMemory(lambda unit: self.run(self.start, unit if unit[:1] == "\n" else SPACE + unit)[1])
+        self.units = UnitMemory(lambda unit: self.run(self.start, unit)[1])
+        # stretches that begin in the start state: a run of spaces after another character, or of newlines that no piece has
+        stops = "\n" * (not any("\n" in p for p in self.scores))
+        self.stretches = re.compile(f"{SPACE}+[^{SPACE}{stops}]*" + f"|{stops}+[^{SPACE}{stops}]*" * bool(stops)).findall
 
     def forget(self) -> None:
         """Drop the states built so far; the start state is 0 again."""
         self.states: list[tuple] = []
         self.steps: list[dict[str, tuple[int, int]]] = []
         self.known: dict[tuple, int] = {}
+        self.with_suffix: dict[str, list[int]] = {}
         self.start = self._state(("", (("", 0),)))
 
     def _state(self, key: tuple) -> int:
         if key not in self.known:
             self.known[key] = len(self.states)
+            self.with_suffix.setdefault(key[0], []).append(len(self.states))
             self.states.append(key)
             self.steps.append({})
         return self.known[key]
@@ -153,18 +169,66 @@ class CountingTransducer:
             count += to[1]
         return state, count
 
-    def chunk(self, text: str) -> Chunk:
-        for k in range(1, len(text)):
-            if text[k] == SPACE != text[k - 1] or text[k - 1] not in self.scores:
-                return Chunk(text[:k], True, *self.run(self.start, text[k:]))
-        return Chunk(text, False, self.start, 0)
+    def tracks(self, states: list[int], text: str) -> dict[int, tuple[int, int]]:
+        """run from each of ``states``; tracks that come to the same state go on as one."""
+        at, count = list(dict.fromkeys(states)), [0] * len(set(states))
+        leads = {s: (k, 0) for k, s in enumerate(at)}  # state -> its track, and the count by which it is ahead
+        live, place = list(range(len(at))), 0
+        while len(live) > 1 and place < len(text):
+            met: dict[int, int] = {}
+            for k in live:
+                at[k], more = self.run(at[k], text[place])
+                count[k] += more
+                met.setdefault(at[k], k)
+            if len(met) < len(live):
+                for s, (k, ahead) in leads.items():
+                    if (other := met[at[k]]) != k:
+                        leads[s] = other, ahead + count[k] - count[other]
+                live = sorted(met.values())
+            place += 1
+        if live and place < len(text):
+            at[live[0]], more = self.run(at[live[0]], text[place:])
+            count[live[0]] += more
+        return {s: (at[k], count[k] + ahead) for s, (k, ahead) in leads.items()}
+
+    def chunk(self, text: str, before: str | None = "") -> Chunk:
+        """The map of a chunk after the characters ``before`` (the last of what precedes it; None at a text's begin)."""
+        stretches = self.stretches(text)
+        cut = len(text) - sum(map(len, stretches))
+        if stretches and not cut and before is not None and text[0] == SPACE:
+            # spaces that may follow on others: they belong to the head
+            cut, stretches = len(stretches[0]), stretches[1:]
+        head, rest = text[:cut], None
+        if stretches:
+            state, last = self.run(self.start, stretches[-1])
+            rest = state, sum(map(self.units.__getitem__, stretches[:-1])) + last
+        if before is None:
+            entries = [self.start]
+        else:
+            guess = self.run(self.start, before)[0]
+            entries = [guess, *(s for s in self.with_suffix[self.states[guess][0]][: TRACKS - 1] if s != guess)]
+        return Chunk(head, self.tracks(entries, head), rest)
+
+    def apply(self, chunk: Chunk, state: int) -> tuple[int, int]:
+        """The exit state and the count of ``chunk`` entered in ``state``."""
+        if state not in chunk.known:
+            if chunk.parts:
+                middle, first = self.apply(chunk.parts[0], state)
+                to, second = self.apply(chunk.parts[1], middle)
+                chunk.known[state] = to, first + second
+            else:
+                chunk.known[state] = self.run(state, chunk.head)
+        to, count = chunk.known[state]
+        return (to, count) if chunk.rest is None else (chunk.rest[0], count + chunk.rest[1])
 
     def compose(self, left: Chunk, right: Chunk) -> Chunk:
-        """The map of ``left`` followed by ``right``."""
-        if not left.synced:
-            return Chunk(left.head + right.head, right.synced, right.exit, right.count)
-        state, count = self.run(left.exit, right.head)
-        return Chunk(left.head, True, right.exit if right.synced else state, left.count + count + right.count)
+        """The map of ``left`` followed by ``right``, for the entry states that left's map has."""
+        known = {}
+        for state in left.known:
+            middle, first = self.apply(left, state)
+            to, second = self.apply(right, middle)
+            known[state] = to, first + second
+        return Chunk("", known, None, (left, right))
 
     def scan(self, maps: list[Chunk]) -> list[Chunk]:
         """The composed map of each prefix of ``maps``: pairs compose first, then pairs of pairs."""
@@ -176,17 +240,29 @@ class CountingTransducer:
             out.append(pairs[k // 2] if k % 2 else self.compose(pairs[k // 2 - 1], maps[k]))
         return out
 
-    def count(self, text: str, chunk_chars: int = 1 << 14) -> int:
-        """The tokens of a whole text."""
+    def prefix_counts(self, text: str, chunk_chars: int = CHUNK) -> list[int]:
+        """How many tokens the machine has counted at the end of each chunk of a whole text; the last is the text's count.
+
+        A piece that goes on into the next chunk is counted as it stands, which the next chunk's count corrects.
+        """
         if not text:
-            return 0
-        if len(self.states) > MAX_STATES:
-            self.forget()
-        if SPACE not in text and (units := plain_units(text)):
-            return self.run(self.start, SPACE + units[0])[1] + sum(map(self.units.__getitem__, units[1:]))
+            return []
         text = SPACE + text.replace(" ", SPACE)
-        whole = self.scan([self.chunk(text[k : k + chunk_chars]) for k in range(0, len(text), chunk_chars)])[-1]
-        return self.run(self.start, whole.head)[1] + whole.count
+        starts, out, state, total = range(0, len(text), chunk_chars), [], self.start, 0
+        for group in range(0, len(starts), GROUP):
+            if len(self.states) > MAX_STATES:
+                own = self.states[state]
+                self.forget()
+                state = self._state(own)
+            maps = [self.chunk(text[k : k + chunk_chars], text[max(0, k - 2 * self.longest) : k] if k else None) for k in starts[group : group + GROUP]]
+            ends = [self.apply(m, state) for m in self.scan(maps)]
+            out += [total + count for _, count in ends]
+            state, total = ends[-1][0], out[-1]
+        return out
+
+    def count(self, text: str, chunk_chars: int = CHUNK) -> int:
+        """The tokens of a whole text."""
+        return self.prefix_counts(text, chunk_chars)[-1] if text else 0
 
 
 @functools.lru_cache(maxsize=2)

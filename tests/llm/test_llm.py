@@ -70,11 +70,29 @@ def test_token_counts(docs):
     machine = token_counts.CountingTransducer(P.path("piece_bpe_32k.model"))
     rnd = random.Random(6)
     many = [t for _, t in whole(docs)] + ["".join(rnd.choice("ab  \n▁éß中!'1²theringon") for _ in range(rnd.randint(1, 70))) for _ in range(1500)]
-    for chunk in (5, 1 << 14):
+    many += ["ab" * 3000, "the" * 999, "\n" * 50 + " " * 50, "e" * 500 + "\U0001f600" * 40 + "in" * 300]
+    for chunk in (1, 5, 64, 1 << 14):
         assert [machine.count(t, chunk) for t in many] == [len(sp.encode(t)) for t in many]
-    maps = [machine.chunk(t) for t in ("ab▁c", "dé", "f", "▁g\nh", "i")]
-    left = machine.compose(machine.compose(maps[0], maps[1]), machine.compose(maps[2], machine.compose(maps[3], maps[4])))
-    assert left == machine.scan(maps)[-1]
+    texts = ("▁ab▁c", "dé", "f", "▁g\nh", "i▁", "▁▁x", "theringon")
+    maps = [machine.chunk(t, "".join(texts[:k]) if k else None) for k, t in enumerate(texts)]
+    left = maps[0]
+    for m in maps[1:]:
+        left = machine.compose(left, m)
+    right = maps[-1]
+    for m in maps[-2::-1]:
+        right = machine.compose(m, right)
+    # associative, and the same as the machine run over the whole text
+    for state in range(min(len(machine.states), 40)):
+        assert machine.apply(left, state) == machine.apply(right, state) == machine.apply(machine.scan(maps)[-1], state)
+    whole_run = machine.run(machine.start, "".join(texts))
+    assert machine.apply(left, machine.start) == whole_run
+    assert machine.tracks([0, 1, 2, 3, 2], "theringab") == {s: machine.run(s, "theringab") for s in range(4)}
+    counts = machine.prefix_counts("the ring " * 200, 100)
+    assert counts == [machine.run(machine.start, ("▁" + "the▁ring▁" * 200)[: k + 100])[1] for k in range(0, 1801, 100)]
+    machine.forget()
+    few, token_counts.MAX_STATES = token_counts.MAX_STATES, 10  # states are forgotten between groups of chunks
+    assert [machine.count(t, 3) for t in many[-40:]] == [len(sp.encode(t)) for t in many[-40:]]
+    token_counts.MAX_STATES = few
     got = [r for r in token_counts.token_counts(docs, P.path("piece_bpe_32k.model"), 100).collect() if r.doc_id == 9]
     assert got[0].over_limit and got[0].n_bytes == 15000
 
