@@ -1,8 +1,9 @@
 """Quality by importance resampling.
 
 Two generative models count hashed word n-grams (words and pairs of neighbouring words): one of target texts, labelled
-as good, one of all texts. A document's weight is the mean log ratio of its n-grams under the two. Gumbel noise on the
-weights makes the k largest a sample without replacement, in proportion to the importance at the given temperature.
+as good, one of all texts. A document's weight is the log of its importance, the sum of the log ratios of its n-grams
+under the two. Standard Gumbel noise on the weights makes the k largest keys a sample without replacement, each draw in
+proportion to the importance of what is left.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import released, scratch, slices, written
+from ._common import fresh, released, scratch, slices, written
 from .unit_encoding import UnitMemory
 
 #: Words are runs of word characters or of marks, as in the public recipe for resampling by importance.
@@ -39,6 +41,11 @@ def ngram_buckets(text: str) -> np.ndarray:
     return np.concatenate([h >> np.uint64(50), pairs >> np.uint64(50)]).astype(np.int64)
 
 
+def uniform(doc_id: int | None, text: str, seed: int) -> float:
+    """A number in (0, 1) for a row, the same for equal rows."""
+    return (xxhash.xxh64_intdigest(f"{doc_id}\n{text}".encode("utf-8", "replace"), seed) // 2**11 + 0.5) / 2**53
+
+
 def _labelled(labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, label) of at most ``rows`` labelled rows, those with the smallest hash of their id; a bounded table."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).na.drop().groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -78,26 +85,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> tuple[np.ndar
     return np.log(target / target.sum()) - np.log(raw / raw.sum()), share
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, temperature: float = 0.002, seed: int = 17) -> DataFrame:
-    """doc_id, n_ngrams, weight (mean log ratio, 0 without n-grams), key (weight plus Gumbel noise) and its order as a long."""
+#: What weigh adds to a table.
+ADDED = ("n_ngrams", "weight", "key", "ordinal")
+
+
+def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 17) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` (doc_id, text, ...) with n_ngrams, weight (sum of log ratios, 0 without n-grams), key (weight plus Gumbel noise) and its order as a long; the names of these four, other ones where ``docs`` has them."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    names = fresh(docs.columns, *ADDED, "id", "words")
 
     @released(_hashes)
     def score(batches):
         for batch in slices(batches):
             table, n, weight, noise = shared.value, [], [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                buckets = ngram_buckets(text or "")
+            for doc_id, text in zip(batch[names[4]].to_pylist(), batch[names[5]].to_pylist(), strict=True):
+                buckets = ngram_buckets(text)
                 n.append(len(buckets))
-                weight.append(float(table[buckets].mean()) if len(buckets) else 0.0)
-                u = (xxhash.xxh64_intdigest(f"{doc_id}", seed) + 0.5) / 2**64
-                noise.append(-math.log(-math.log(u)) if u < 1 else 40.0)
-            key = np.array(weight) + temperature * np.array(noise)
+                weight.append(float(table[buckets].sum()))
+                noise.append(-math.log(-math.log(uniform(doc_id, text, seed))))
+            key = np.array(weight) + np.array(noise)
             bits = (key + 0.0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(key, pa.float64()), pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits), pa.int64())], ["doc_id", "n_ngrams", "weight", "key", "ordinal"])
+            own = [batch.column(i) for i in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(key, pa.float64()), pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits), pa.int64())], [*batch.schema.names[:-2], *names[:4]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, n_ngrams long, weight double, key double, ordinal long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, t) for x, t in zip(names, (T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType()), strict=False))])
+    rows = docs.select("*", docs["doc_id"].cast("long").alias(names[4]), F.coalesce(docs["text"].cast("string"), F.lit("")).alias(names[5]))
+    return rows.mapInArrow(score, schema), names[:4]
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -116,22 +129,31 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
+def _resampled(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, tuple[str, ...], Column]:
+    """The weighed rows, written with all their columns, the names of what was added, and whether a row is kept."""
+    ratio, share = fit(docs, labels, rows)
+    weighed, names = weigh(docs, ratio)
+    weighed = written(weighed, scratch(docs.sparkSession, "quality"))
+    k = math.ceil(share * weighed.count())
+    least = kth_largest(weighed, names[3], k) if k else None
+    return weighed, names, F.lit(True) if least is None else F.col(names[3]) >= least
+
+
 def resample(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> DataFrame:
     """doc_id, n_ngrams, weight, key and kept for every row of ``docs``.
 
-    k, the size of the sample, is the share of good ones among the labelled documents, times the number of documents.
-    All rows whose key equals the k-th largest are kept. A null or empty text has no n-grams and a weight of zero;
-    equal rows share one key. Without any labels all rows are kept. An empty table gives no rows.
+    k, the size of the sample, is the share of good ones among the labelled documents (with three standard errors), times
+    the number of rows. All rows whose key equals the k-th largest are kept. A null or empty text has no n-grams and a
+    weight of zero. Equal rows share one key; rows with equal ids and other texts have keys of their own, and all of them
+    take their id's label. Null ids and labels say nothing, of repeated labels the best counts. Without any labels all
+    rows are kept. An empty table gives no rows. Other columns of ``docs`` may have any names.
     """
-    ratio, share = fit(docs, labels, rows)
-    weighed = written(weigh(docs, ratio), scratch(docs.sparkSession, "quality"))
-    k = math.ceil(share * weighed.count())
-    least = kth_largest(weighed, "ordinal", k) if k else None
-    kept = F.lit(True) if least is None else F.col("ordinal") >= least
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    weighed, _, kept = _resampled(own, labels, rows)
     return weighed.select("doc_id", "n_ngrams", "weight", "key", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    dropped = resample(docs, labels, rows).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs`` that are kept, with all their columns: each by its own key, whatever ids repeat. Cases as in resample."""
+    weighed, _, kept = _resampled(docs, labels, rows)
+    return weighed.where(kept).select(*docs.columns)

@@ -52,7 +52,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, verdict)"))
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

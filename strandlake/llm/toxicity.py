@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import released, slices
+from ._common import fresh, released, slices
 from .unit_encoding import UnitMemory
 
 WORD = re.compile(r"\w+")
@@ -83,10 +84,15 @@ def fit_ordinal(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray, l1: f
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Model:
-    """A model of at most ``rows`` labelled texts, those with the smallest hash of their id; only their features are collected."""
+    """A model of at most ``rows`` labelled texts, those with the smallest hash of their id; only their features are collected.
+
+    Of rows with the same labelled id the first text counts, so no more than ``rows`` texts come to the driver. Where the
+    labels are not of both kinds there is nothing to tell apart, and the model finds nothing toxic.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).na.drop().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    labelled = labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     @released(_features)
     def extract(batches):
@@ -100,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Model:
     buckets = table["buckets"].combine_chunks()
     lengths, flat, toxic = buckets.value_lengths().to_numpy(zero_copy_only=False), buckets.flatten().to_numpy(), table["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(BUCKETS), np.array([40.0 if not toxic.any() else -40.0]), 0.5)
+        return Model(np.zeros(BUCKETS), np.array([40.0]), 0.5)
     row = np.repeat(np.arange(len(toxic)), lengths)
     grades = np.where(toxic, _grades(row, flat, toxic), 0)
     # sparse features in few texts say nothing: keep those of at least five
@@ -133,11 +139,12 @@ def _best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
     return float((scores[order][best] + below) / 2)
 
 
-def graded(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with severity, grade (the likeliest one) and toxic beside its own columns; one narrow pass."""
+def graded(docs: DataFrame, model: Model) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with severity, grade (the likeliest one) and toxic beside its own columns, in one narrow pass; the names of these three, other ones where ``docs`` has them."""
     spark = docs.sparkSession
     used = np.flatnonzero(model.weights)
     shared = spark.sparkContext.broadcast((dict(zip(used.tolist(), model.weights[used].tolist(), strict=True)), model.thresholds, model.cut))
+    names = fresh(docs.columns, "severity", "grade", "toxic", "words")
 
     @released(_features)
     def score(batches):
@@ -146,7 +153,7 @@ def graded(docs: DataFrame, model: Model) -> DataFrame:
         words = UnitMemory(lambda w: tuple((b, weights[b]) for b in known[w] if b in weights), 60_000)
         for batch in slices(batches):
             totals, marked = [], []
-            for text in batch["__text"].to_pylist():
+            for text in batch[names[3]].to_pylist():
                 found: dict[int, float] = {}
                 for w in set(WORD.findall(text.lower())):
                     if hit := words[w]:
@@ -156,23 +163,27 @@ def graded(docs: DataFrame, model: Model) -> DataFrame:
             expected = severity(np.array(totals, float), thresholds)
             chance = 1 - _sigmoid(np.array(totals, float)[:, None] - thresholds)
             steps = np.diff(np.concatenate([np.zeros((len(totals), 1)), chance, np.ones((len(totals), 1))], axis=1), axis=1)
-            own = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(expected, pa.float64()), pa.array(steps.argmax(axis=1), pa.int32()), pa.array((expected >= cut) & np.array(marked, bool), pa.bool_())], [*(n for n in batch.schema.names if n != "__text"), "__severity", "__grade", "__toxic"])
+            own = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(expected, pa.float64()), pa.array(steps.argmax(axis=1), pa.int32()), pa.array((expected >= cut) & np.array(marked, bool), pa.bool_())], [*batch.schema.names[:-1], *names[:3]])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(score, f"{fields}, __severity double, __grade int, __toxic boolean")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, t) for x, t in zip(names, (T.DoubleType(), T.IntegerType(), T.BooleanType()), strict=False))])
+    return docs.select("*", F.coalesce(docs["text"].cast("string"), F.lit("")).alias(names[3])).mapInArrow(score, schema), names[:3]
 
 
 def severities(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> DataFrame:
     """doc_id, severity, grade and toxic of every whole text.
 
-    A null or empty text has no features; without any feature that speaks for toxicity a text is not toxic. Equal texts get equal results. If no labelled text is toxic none is found so,
-    and if there are no labels at all. An empty table gives no rows.
+    A null or empty text has no features; without any feature that speaks for toxicity a text is not toxic. Equal texts
+    get equal results, whatever their ids, which may repeat or be null. If the labelled texts are all toxic, all clean or
+    none, nothing is found toxic. Null ids and labels say nothing; of repeated labels the gravest counts. An empty table
+    gives no rows. Other columns of ``docs`` may have any names.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return graded(own, fit(docs, labels, rows)).select("doc_id", F.col("__severity").alias("severity"), F.col("__grade").alias("grade"), F.col("__toxic").alias("toxic"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    found, names = graded(own, fit(own, labels, rows))
+    return found.select("doc_id", *names)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns; cases as in severities."""
-    return graded(docs, fit(docs, labels, rows)).where(~F.col("__toxic")).select(*docs.columns)
+    """The rows of ``docs`` that are not toxic, with all their columns; each row by its own text. Cases as in severities."""
+    found, names = graded(docs, fit(docs, labels, rows))
+    return found.where(~F.col(names[2])).select(*docs.columns)
