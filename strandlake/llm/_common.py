@@ -8,12 +8,12 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import fresh, scratch, written
 
-__all__ = ["fetch", "fresh", "join_few", "located", "put", "released", "scratch", "settle", "slices", "store", "texts", "written"]
+__all__ = ["fetch", "fresh", "join_few", "located", "put", "released", "scratch", "settle", "sieved", "slices", "store", "texts", "without_places", "written"]
 
 
 def store(path: str):
@@ -100,6 +100,29 @@ def join_few(rows: DataFrame, each: DataFrame, keys: list[str], n: str) -> DataF
     return rows.join(many, keys).unionByName(rows.join(many.select(*keys), keys, "left_anti").join(few, keys))
 
 
+def sieved(rows: DataFrame, hashed: Column, among: DataFrame, of: Column, n: int, name: str) -> DataFrame:
+    """``rows`` with ``name``: whether the 64-bit ``hashed`` of a row may be the hash ``of`` one of the ``n`` rows of ``among``.
+
+    Bitmaps of at most 32 MB in all go to every task, at any size: about 32 bits a row, one of them set. Where there are
+    more rows than fit that, more is let through. A false answer is always right.
+    """
+    buckets = min(8192, 1 << max(0, (n * 32 >> 15).bit_length()))
+    bucket, bit, bitmap = fresh(rows.columns, "bucket", "bit", "bitmap")
+    place = lambda h: (F.pmod(F.shiftright(h, 15), F.lit(buckets)).alias(bucket), h.bitwiseAND(F.lit((1 << 15) - 1)).alias(bit))
+    maps = among.select(*place(of)).groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias(bitmap))
+    met = rows.select("*", *place(hashed)).join(F.broadcast(maps), bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, {bit} div 8 + 1, 1)")), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, (F.col(bit) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn(name, F.coalesce(found, F.lit(False))).drop(bucket, bit, bitmap)
+
+
+def without_places(rows: DataFrame, dropped: DataFrame, place: str) -> DataFrame:
+    """``rows`` but those whose ``place`` is in ``dropped``, a written table. Only rows that may be among them are shuffled."""
+    (maybe,) = fresh(rows.columns, "maybe")
+    marked = sieved(rows, F.xxhash64(place), dropped, F.xxhash64(place), dropped.count(), maybe)
+    return marked.where(~F.col(maybe)).unionByName(marked.where(maybe).join(dropped, place, "left_anti")).drop(maybe)
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, place: str | None = None) -> DataFrame:
     """Only (doc_id, text) of ``docs``, whatever else it has, and ``place`` as at; a null text is empty."""
     return docs.select(

@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, join_few, located, scratch, texts, written
+from ._common import fresh, join_few, located, scratch, sieved, texts, without_places, written
 
 #: State on disk; a version adds its changes to the checkpoint, and no store allocates files ahead of what it holds.
 STORE = {
@@ -68,26 +68,6 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return _groups(texts(located(docs, f"{path}/docs", place), id_col, text_col, place), path)
 
 
-def _bits(digest: Column, buckets: int) -> tuple[Column, Column]:
-    """The bitmap of a digest among ``buckets`` ones of 32,768 bits, and its bit there."""
-    number = F.conv(F.substring(F.hex(digest), 1, 12), 16, 10).cast("long")
-    return F.pmod(F.shiftright(number, 15), F.lit(buckets)).alias("bucket"), number.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")
-
-
-def _hit(rows: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
-    """Those of ``rows`` (digest, ...) whose digest may be in ``hits``: bitmaps of at most 32 MB go to all tasks, at any size.
-
-    A digest sets one bit of about 32 a hit. Where there are more hits than fit that, more rows pass that are no hits,
-    and only the check after this one tells them apart.
-    """
-    buckets = min(8192, 1 << max(0, (n_hits * 32 >> 15).bit_length()))
-    bucket, bit = _bits(F.col("digest"), buckets)
-    maps = hits.select(bucket, bit).groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("map"))
-    met = rows.withColumns({"bucket": bucket, "bit": bit}).join(F.broadcast(maps), "bucket")
-    byte = F.conv(F.hex(F.expr("substring(map, bit div 8 + 1, 1)")), 16, 10).cast("int")
-    return met.where((F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)).drop("bucket", "bit", "map")
-
-
 def sha256(text: str) -> Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -98,11 +78,10 @@ def _groups(rows: DataFrame, path: str, digest: Callable[[str], Column] = sha256
     feed = written(rows.select("digest", "doc_id", "at"), f"{path}/feed")
     state = written(seen(spark, f"{path}/feed", f"{path}/state"), f"{path}/seen")
     hits = state.where("n > 1")
-    n_hits = hits.count()
 
     # the bytes of hits only: equal texts fold within each task, and must be the one that the state's locator points at
     same = F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n")
-    contents = _hit(rows, hits, n_hits).groupBy("digest", "text").agg(*same)
+    contents = sieved(rows, F.xxhash64("digest"), hits, F.xxhash64("digest"), hits.count(), "hit").where("hit").groupBy("digest", "text").agg(*same)
     checked = contents.join(hits.select("digest", F.col("keep.at").alias("located")), "digest")
     other = written(checked.where("keep.at != located").select("digest").distinct(), f"{path}/other")
 
@@ -123,5 +102,5 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns; cases as in exact_groups."""
     path, (place,) = scratch(docs.sparkSession, "exact"), fresh(docs.columns, "at")
     rows = located(docs, f"{path}/docs", place)
-    dropped = _groups(texts(rows, id_col, text_col, place), path).where("NOT kept").select(F.col("at").alias(place))
-    return rows.join(dropped, place, "left_anti").select(*docs.columns)
+    dropped = written(_groups(texts(rows, id_col, text_col, place), path).where("NOT kept").select(F.col("at").alias(place)), f"{path}/dropped")
+    return without_places(rows, dropped, place).select(*docs.columns)

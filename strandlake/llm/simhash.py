@@ -15,13 +15,15 @@ within each group so joined the Jaccard similarity of the whole sets decides eac
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, join_few, located, scratch, slices, texts, written
+from ._common import fresh, join_few, located, scratch, sieved, slices, texts, without_places, written
 from .components import components
 
 SEED = 42
@@ -29,6 +31,8 @@ SEED = 42
 GAMMA, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Low bits of a shingle hash by which similar looks for sets that may share enough.
 LOW = (1 << 20) - 1
+#: Bits of a segment of wide fingerprints.
+SEGMENT = 24
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -185,12 +189,12 @@ def _runs(table: pa.Table, most: int):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0) -> DataFrame:
-    """(doc_id, at, print, node) of ``rows`` (doc_id, text, at); ``print`` is 8 * words bytes, little-endian, zero for a text without words.
+def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0, least: float | None = None) -> DataFrame:
+    """(doc_id, at, print, node, keys) of ``rows`` (doc_id, text, at); ``print`` is 8 * words bytes, little-endian, zero for a text without words.
 
-    ``node`` is a 64-bit print as a long. Wider prints are of distinct shingles, and ``node`` is a hash of their set. With
-    ``probes`` there is also ``keys``: the table keys of segments of 24 bits, each with up to two of its ``probes`` least
-    certain bits (nearest to half the votes) flipped. Equal nodes have equal keys.
+    ``node`` is a 64-bit print as a long. Wider prints are of distinct shingles, and ``node`` is a hash of their set.
+    ``keys`` holds the ``probes`` least certain bits (nearest to half the votes) of each segment, a byte each, and with
+    ``least`` the prefix of the set, see prefix. Equal nodes have equal keys.
     """
 
     def make(batches):
@@ -200,14 +204,18 @@ def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0)
                 hashes = [np.unique(h) for h in hashes]
             votes = np.stack([bit_votes(h, words) for h in hashes])
             prints = np.packbits(votes > 0, axis=1, bitorder="little")
-            raw = [p.tobytes() for p in prints]
             node = prints.view("<i8")[:, 0] if words == 1 else np.array([set_node(h) for h in hashes], np.int64)
-            columns = [batch["doc_id"], batch["at"], pa.array(raw, pa.binary()), pa.array(node, pa.int64())]
-            if probes:
-                columns.append(pa.array(list(_probed(votes, probes)), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "print", "node", "keys"][: len(columns)])
+            keys = [f.tobytes() for f in uncertain(votes, probes)] if probes else [b""] * len(hashes)
+            if least is not None:
+                keys = [k + prefix(h, least).tobytes() for k, h in zip(keys, hashes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["at"], pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(node, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "at", "print", "node", "keys"])
+
+    return rows.mapInArrow(make, f"doc_id long, at {rows.schema['at'].dataType.simpleString()}, print binary, node long, keys binary")
+
 
-    return rows.mapInArrow(make, f"doc_id long, at {rows.schema['at'].dataType.simpleString()}, print binary, node long" + ", keys array<long>" * bool(probes))
+def prefix(hashes: np.ndarray, least: float) -> np.ndarray:
+    """The smallest hashes of a sorted set: so many that any set with a similarity of ``least`` to it has one of them in its own prefix."""
+    return hashes[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1].astype("<u8") if len(hashes) else hashes.astype("<u8")
 
 
 def set_node(hashes: np.ndarray) -> int:
@@ -226,14 +234,41 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("text").mapInArrow(make, "node long, shingles binary")
 
 
-def _probed(votes: np.ndarray, probes: int) -> np.ndarray:
-    width, out = 24, []
-    for seg in range(votes.shape[1] // width):
-        own = votes[:, seg * width : (seg + 1) * width]
-        key = (own > 0) @ (1 << np.arange(width, dtype=np.int64)) | seg << width
-        flips = 1 << np.argsort(np.abs(own), axis=1, kind="stable")[:, :probes].astype(np.int64)
-        out += [key, *(key ^ flips[:, i] for i in range(probes)), *(key ^ flips[:, i] ^ flips[:, j] for i in range(probes) for j in range(i))]
-    return np.stack(out, axis=1)
+def uncertain(votes: np.ndarray, probes: int) -> np.ndarray:
+    """For each text and segment the places of its ``probes`` least certain bits."""
+    own = np.abs(votes[:, : votes.shape[1] // SEGMENT * SEGMENT]).reshape(len(votes), -1, SEGMENT)
+    return np.argsort(own, axis=2, kind="stable")[:, :, :probes].astype(np.uint8)
+
+
+def probed(prints: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """The table keys of each print (bytes): every segment as it is, and with one or two of its ``flips`` flipped."""
+    bits = np.unpackbits(prints, axis=1, bitorder="little")
+    n, segments, probes = flips.shape
+    own = bits[:, : segments * SEGMENT].reshape(n, segments, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64)) | np.arange(segments, dtype=np.int64) << SEGMENT
+    flip = 1 << flips.astype(np.int64)
+    one = [own ^ flip[:, :, i] for i in range(probes)]
+    two = [own ^ flip[:, :, i] ^ flip[:, :, j] for i in range(probes) for j in range(i)]
+    return np.concatenate([own, *one, *two], axis=1)
+
+
+def _table_keys(nodes: DataFrame, words: int, probes: int) -> DataFrame:
+    """(node, print, key) of wide fingerprints: probed keys, and what else ``keys`` has, as keys apart from those."""
+    segments = 64 * words // SEGMENT
+
+    def make(batches):
+        for batch in slices(batches, 4096):
+            if not batch.num_rows:
+                continue
+            own, held = batch["print"].to_pylist(), batch["keys"].to_pylist()
+            cut = segments * probes
+            keys = probed(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1), np.frombuffer(b"".join(k[:cut] for k in held), np.uint8).reshape(len(own), segments, probes))
+            more = [np.frombuffer(k[cut:], "<i8") | np.int64(-(1 << 63)) for k in held]
+            sizes = np.array([keys.shape[1] + len(m) for m in more])
+            flat = np.concatenate([x for k, m in zip(keys, more, strict=True) for x in (k, m)])
+            row = pa.array(np.repeat(np.arange(len(own)), sizes))
+            yield pa.RecordBatch.from_arrays([batch["node"].take(row), batch["print"].take(row), pa.array(flat)], ["node", "print", "key"])
+
+    return nodes.select("node", "print", "keys").mapInArrow(make, "node long, print binary, key long")
 
 
 def _ball_keys(nodes: DataFrame) -> DataFrame:
@@ -254,39 +289,41 @@ def contracted(edges: DataFrame) -> DataFrame:
     return own.select(F.explode(F.array_append("others", F.col("a"))).alias("a"), "b").where("a != b").distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8, complete: bool = False, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest id of the rows linked directly or through others.
 
     With ``words`` of 1, fingerprints have 64 bits and link at ``most`` (two to four) differing bits; every such link is
     found. With more, texts link where the Jaccard similarity of their whole shingle sets is ``least`` or more. Fingerprints
     of 64 bits a word find the candidates: tables probe the uncertain bits of 24-bit segments and keep what differs in at
-    most ``most`` bits, by default far more than a similarity of 0.8 gives; a link is found with a chance (README). One task
-    holds the sets of one group of candidates.
+    most ``most`` bits, by default far more than a similarity of 0.8 gives; a link is found with a chance (README). With
+    ``complete`` the tables also hold each set's prefix, of which any two sets that link share a shingle, and ``most`` is
+    nine standard deviations beyond a similarity of 0.8, so no link is lost; shingles that very many texts share then
+    make large table entries. One task holds the sets of one group of candidates.
 
     Texts are whole; a null text is empty, and texts without words share the zero fingerprint, linked like any other.
     Equal rows count once each; a null id stays null and belongs to its text's component, of which it is never the
     smallest id unless all are null. An empty table gives no rows; other columns of ``docs`` don't matter.
     """
     rows = texts(docs, id_col, text_col).withColumn("at", F.lit(0))
-    return _groups(rows, shingle, most, words, probes, least).select("doc_id", "fingerprint", "component_id")
+    return _groups(rows, shingle, most, words, probes, least, complete).select("doc_id", "fingerprint", "component_id")
 
 
-def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8) -> DataFrame:
+def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8, complete: bool = False) -> DataFrame:
     """groups of ``rows`` (doc_id, text, at), with at and first: the least (missing, doc_id, at) of the component."""
     path = scratch(rows.sparkSession, "simhash")
     exact = words == 1
-    most = (4 if exact else round(0.235 * 64 * words)) if most is None else most
+    most = (4 if exact else round((0.35 if complete else 0.235) * 64 * words)) if most is None else most
     if exact and not 0 <= most <= 4:
         raise ValueError("the two-segment tables hold links of at most four differing bits")
-    prints = written(fingerprints(rows, shingle, words, 0 if exact else probes), f"{path}/prints")
+    prints = written(fingerprints(rows, shingle, words, 0 if exact else probes, least if complete else None), f"{path}/prints")
     own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "at")
-    nodes = prints.groupBy("node", "print").agg(F.min(own).alias("least"), F.count("*").alias("copies"), *([] if exact else [F.first("keys").alias("keys")]))
+    nodes = prints.groupBy("node", "print").agg(F.min(own).alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     nodes = written(nodes, f"{path}/nodes")
-    keyed = _ball_keys(nodes) if exact else nodes.select("node", "print", F.explode("keys").alias("key"))
+    keyed = _ball_keys(nodes) if exact else _table_keys(nodes, words, probes)
     edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linked(most), "a long, b long").distinct()
     if not exact:
-        near = components(contracted(edges)).withColumnRenamed("component", "group")
-        held = shingle_sets(rows, shingle).join(near, "node")
+        near = written(components(contracted(edges)).withColumnRenamed("component", "group"), f"{path}/near")
+        held = sieved(shingle_sets(rows, shingle), F.xxhash64("node"), near, F.xxhash64("node"), near.count(), "near").where("near").join(near, "node")
         edges = held.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_verified(least), "a long, b long")
     joined = nodes.select("node", "print", "least", "copies").join(components(edges), "node", "left")
     of_node = written(joined.select("node", "print", "least", "copies", F.coalesce("component", "node").alias("component")), f"{path}/of-node")
@@ -297,7 +334,7 @@ def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: i
     return found.select("doc_id", F.lower(digits).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), "at", "first")
 
 
-def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(docs: DataFrame, complete: bool = False, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one row of each component, the first by id, then by place.
 
     Rows are told apart by the file and row of their content, so ids may repeat or be null (a null id is never first
@@ -305,5 +342,5 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     path, (place,) = scratch(docs.sparkSession, "near"), fresh(docs.columns, "at")
     rows = located(docs, f"{path}/docs", place)
-    dropped = _groups(texts(rows, id_col, text_col, place)).where("at != first.at").select(F.col("at").alias(place))
-    return rows.join(dropped, place, "left_anti").select(*docs.columns)
+    dropped = written(_groups(texts(rows, id_col, text_col, place), complete=complete).where("at != first.at").select(F.col("at").alias(place)), f"{path}/dropped")
+    return without_places(rows, dropped, place).select(*docs.columns)

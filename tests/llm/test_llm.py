@@ -513,3 +513,34 @@ def test_texts_of_one_digest_are_split_by_their_bytes(spark, docs, tmp_path):
     largest = {t: max((i for i in ids if i is not None), default=None) for t, ids in by_text.items()}
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == sorted((str(i), str(largest[t]), len(ids)) for t, ids in by_text.items() for i in ids)
     assert sum(r.kept for r in got) == len(by_text)
+
+
+def test_near_links_are_found(spark):
+    """Recall of links at similarities from 0.8 on, of the tables alone and with prefixes."""
+    rnd = random.Random(31)
+    texts, linked = [], 0
+    for k in range(220):
+        n = rnd.choice([40, 120, 400])
+        w = [f"{rnd.getrandbits(40):x}" for _ in range(n)]
+        v = list(w)
+        for at in rnd.sample(range(n), max(1, rnd.randint(n // 100, n // 40))):
+            v[at] = "changed"
+        a, b = (set(zip(*(x[i:] for i in range(5)), strict=False)) for x in (w, v))
+        linked += len(a & b) >= 0.8 * len(a | b)
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    assert linked >= 100
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for complete, least in ((False, 0.97), (True, 1.0)):
+        found = simhash.groups(df, complete=complete).where("component_id != doc_id").collect()
+        assert all(r.component_id == r.doc_id - 1 for r in found) and least * linked <= len(found) <= linked
+    assert simhash.prefix(np.arange(10, dtype=np.uint64), 0.8).tolist() == [0, 1, 2] and len(simhash.prefix(np.zeros(0, np.uint64), 0.8)) == 0
+
+
+def test_sieve_never_misses(spark):
+    from strandlake.llm._common import sieved
+
+    rows, among = spark.range(3000).withColumn("bucket", F.lit(1)), spark.range(0, 3000, 7)
+    got = sieved(rows, F.xxhash64("id"), among, F.xxhash64("id"), among.count(), "maybe")
+    assert got.columns == ["id", "bucket", "maybe"] and got.count() == 3000
+    assert got.where("maybe AND id % 7 = 0").count() == among.count() and got.where("maybe AND id % 7 != 0").count() < 300
+    assert sieved(rows, F.xxhash64("id"), among.limit(0), F.xxhash64("id"), 0, "maybe").where("maybe").count() == 0
