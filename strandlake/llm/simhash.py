@@ -10,7 +10,8 @@ Equal fingerprints are one node, so copies cost nothing, and the members of one
 forest: links that would only join what is joined already are not emitted, and no pair of a large group need be.
 
 Wide fingerprints only find candidates: nodes are equal sets of shingles, the tables join all that are loosely near, and
-within each group so joined the Jaccard similarity of the whole sets decides each link.
+within each group so joined the Jaccard similarity of the whole sets decides each link. As Hamming balls that hold all
+links of a similarity of 0.8 would be far too large, the tables also hold the rarest shingles of each set, for the rest.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ GAMMA, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 LOW = (1 << 20) - 1
 #: Bits of a segment of wide fingerprints.
 SEGMENT = 24
+#: Buckets (bits) in which shingles are counted, for prefixes to begin with rare ones.
+LOAD_BITS = 18
+#: Key of a prefix: negative, as those of segments never are.
+PREFIX = np.int64(-(1 << 63))
+#: Shares of bits in which prints may differ to be candidates: where segments meet, and where prefixes do.
+NEAR, FAR = 0.235, 0.35
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -142,9 +149,16 @@ def _verified(least: float):
     return _by_run("group", runs)
 
 
-def _linked(most: int):
-    """For batches sorted by (table, key): the forests of each run of equal keys, as (a, b) node ids."""
-    return _by_run("key", lambda table: _runs(table, most))
+def _linked(most: int, far: int):
+    """For batches (key, print) sorted by both: the forests of each run of equal keys, as (a, b) ids of prints within ``most`` bits, or ``far`` where the key is a prefix."""
+    return _by_run("key", lambda table: _runs(table, most, far))
+
+
+def print_ids(prints: np.ndarray) -> np.ndarray:
+    """A long for each print (a row of uint64 words): one of 64 bits itself, else its XXH64, as the engine has it."""
+    if prints.shape[1] == 1:
+        return prints[:, 0].view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(p.tobytes(), SEED) for p in prints], np.uint64).view(np.int64)
 
 
 def _by_run(column: str, runs):
@@ -167,26 +181,45 @@ def _by_run(column: str, runs):
     return link
 
 
-def _runs(table: pa.Table, most: int):
+def _runs(table: pa.Table, most: int, far: int):
     if not table.num_rows:
         return
-    key, node = table["key"].to_numpy(), table["node"].to_numpy()
+    key = table["key"].to_numpy()
     cuts = np.flatnonzero(np.diff(key)) + 1
     sizes = np.diff(np.concatenate([[0], cuts, [len(key)]]))
     shared = np.repeat(sizes > 1, sizes)
     if not shared.any():
         return
-    node, starts = node[shared], np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
-    prints = np.frombuffer(b"".join(table["print"].filter(pa.array(shared)).to_pylist()), "<u8").reshape(len(node), -1)
+    starts = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
+    prints = np.frombuffer(b"".join(table["print"].filter(pa.array(shared)).to_pylist()), "<u8").reshape(starts[-1], -1)
     two = starts[:-1][np.diff(starts) == 2]
-    near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= most]
-    a, b = [node[near]], [node[near + 1]]
+    limit = np.where(key[shared] < 0, far, most)
+    near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= limit[two]]
+    a, b = [near], [near + 1]
     for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if e - s > 2 and (edges := forest(prints[s:e], most)):
+        if e - s > 2 and (edges := forest(prints[s:e], limit[s])):
             pairs = np.array(edges) + s
-            a.append(node[pairs[:, 0]])
-            b.append(node[pairs[:, 1]])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            a.append(pairs[:, 0])
+            b.append(pairs[:, 1])
+    a, b = np.concatenate(a), np.concatenate(b)
+    yield pa.RecordBatch.from_arrays([pa.array(print_ids(prints[a])), pa.array(print_ids(prints[b]))], ["a", "b"])
+
+
+def loads(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts have a shingle in each bucket, counting each distinct one: a table of fixed size."""
+
+    def count(batches):
+        total = np.zeros(1 << LOAD_BITS, np.int64)
+        for batch in slices(batches):
+            for text in batch["text"].to_pylist():
+                total += np.bincount((np.unique(shingle_hashes(text, shingle)) >> np.uint64(64 - LOAD_BITS)).astype(np.int64), minlength=len(total))
+        bucket = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(total[bucket])], ["bucket", "n"])
+
+    counts = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << LOAD_BITS, np.int64)
+    out[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    return out
 
 
 def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0, least: float | None = None) -> DataFrame:
@@ -197,6 +230,8 @@ def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0,
     ``least`` the prefix of the set, see prefix. Equal nodes have equal keys.
     """
 
+    load = rows.sparkSession.sparkContext.broadcast(loads(rows, shingle)) if least is not None else None
+
     def make(batches):
         for batch in slices(batches):
             hashes = [shingle_hashes(t, shingle) for t in batch["text"].to_pylist()]
@@ -207,15 +242,21 @@ def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0,
             node = prints.view("<i8")[:, 0] if words == 1 else np.array([set_node(h) for h in hashes], np.int64)
             keys = [f.tobytes() for f in uncertain(votes, probes)] if probes else [b""] * len(hashes)
             if least is not None:
-                keys = [k + prefix(h, least).tobytes() for k, h in zip(keys, hashes, strict=True)]
+                keys = [k + prefix(h, least, load.value).tobytes() for k, h in zip(keys, hashes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["at"], pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(node, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "at", "print", "node", "keys"])
 
     return rows.mapInArrow(make, f"doc_id long, at {rows.schema['at'].dataType.simpleString()}, print binary, node long, keys binary")
 
 
-def prefix(hashes: np.ndarray, least: float) -> np.ndarray:
-    """The smallest hashes of a sorted set: so many that any set with a similarity of ``least`` to it has one of them in its own prefix."""
-    return hashes[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1].astype("<u8") if len(hashes) else hashes.astype("<u8")
+def prefix(hashes: np.ndarray, least: float, load: np.ndarray) -> np.ndarray:
+    """The hashes of a sorted set whose buckets have the least load: so many that any set with a similarity of ``least`` to it has one of them in its own prefix.
+
+    That holds for any order that is the same for all sets; this one keeps what very many texts share for the end.
+    """
+    if not len(hashes):
+        return hashes.astype("<u8")
+    order = np.lexsort((hashes, load[(hashes >> np.uint64(64 - LOAD_BITS)).astype(np.int64)]))
+    return hashes[order[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]].astype("<u8")
 
 
 def set_node(hashes: np.ndarray) -> int:
@@ -252,7 +293,7 @@ def probed(prints: np.ndarray, flips: np.ndarray) -> np.ndarray:
 
 
 def _table_keys(nodes: DataFrame, words: int, probes: int) -> DataFrame:
-    """(node, print, key) of wide fingerprints: probed keys, and what else ``keys`` has, as keys apart from those."""
+    """(key, print) of wide fingerprints: probed keys, and what else ``keys`` has, as keys apart from those."""
     segments = 64 * words // SEGMENT
 
     def make(batches):
@@ -262,13 +303,13 @@ def _table_keys(nodes: DataFrame, words: int, probes: int) -> DataFrame:
             own, held = batch["print"].to_pylist(), batch["keys"].to_pylist()
             cut = segments * probes
             keys = probed(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1), np.frombuffer(b"".join(k[:cut] for k in held), np.uint8).reshape(len(own), segments, probes))
-            more = [np.frombuffer(k[cut:], "<i8") | np.int64(-(1 << 63)) for k in held]
+            more = [np.frombuffer(k[cut:], "<i8") | PREFIX for k in held]
             sizes = np.array([keys.shape[1] + len(m) for m in more])
             flat = np.concatenate([x for k, m in zip(keys, more, strict=True) for x in (k, m)])
             row = pa.array(np.repeat(np.arange(len(own)), sizes))
-            yield pa.RecordBatch.from_arrays([batch["node"].take(row), batch["print"].take(row), pa.array(flat)], ["node", "print", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch["print"].take(row)], ["key", "print"])
 
-    return nodes.select("node", "print", "keys").mapInArrow(make, "node long, print binary, key long")
+    return nodes.select("print", "keys").mapInArrow(make, "key long, print binary")
 
 
 def _ball_keys(nodes: DataFrame) -> DataFrame:
@@ -276,7 +317,7 @@ def _ball_keys(nodes: DataFrame) -> DataFrame:
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     high, low = F.shiftrightunsigned("node", 32), F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
     ball = lambda seg, table: F.transform(F.sequence(F.lit(-1), F.lit(31)), lambda i: F.when(i < 0, seg).otherwise(seg.bitwiseXOR(one(F.greatest(i, F.lit(0))))).bitwiseXOR(F.lit(table << 32)))
-    return nodes.select("node", "print", F.explode(F.concat(ball(high, 0), ball(low, 1))).alias("key"))
+    return nodes.select(F.explode(F.concat(ball(high, 0), ball(low, 1))).alias("key"), "print")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -289,16 +330,16 @@ def contracted(edges: DataFrame) -> DataFrame:
     return own.select(F.explode(F.array_append("others", F.col("a"))).alias("a"), "b").where("a != b").distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8, complete: bool = False, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 2, least: float = 0.8, complete: bool = True, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest id of the rows linked directly or through others.
 
     With ``words`` of 1, fingerprints have 64 bits and link at ``most`` (two to four) differing bits; every such link is
     found. With more, texts link where the Jaccard similarity of their whole shingle sets is ``least`` or more. Fingerprints
     of 64 bits a word find the candidates: tables probe the uncertain bits of 24-bit segments and keep what differs in at
-    most ``most`` bits, by default far more than a similarity of 0.8 gives; a link is found with a chance (README). With
-    ``complete`` the tables also hold each set's prefix, of which any two sets that link share a shingle, and ``most`` is
-    nine standard deviations beyond a similarity of 0.8, so no link is lost; shingles that very many texts share then
-    make large table entries. One task holds the sets of one group of candidates.
+    most ``most`` bits, by default far more than a similarity of 0.8 gives; a link is found with a chance (README), which
+    rises with ``probes``. With ``complete`` the tables also hold each set's prefix, its rarest shingles, of which any two
+    sets that link share one; what then differs in 35 % of the bits or less, eight standard deviations beyond a similarity
+    of 0.8, is a candidate too. So no link is lost. One task holds the sets of one group of candidates.
 
     Texts are whole; a null text is empty, and texts without words share the zero fingerprint, linked like any other.
     Equal rows count once each; a null id stays null and belongs to its text's component, of which it is never the
@@ -308,21 +349,25 @@ def groups(docs: DataFrame, shingle: int = 5, most: int | None = None, words: in
     return _groups(rows, shingle, most, words, probes, least, complete).select("doc_id", "fingerprint", "component_id")
 
 
-def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 6, least: float = 0.8, complete: bool = False) -> DataFrame:
+def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: int = 4, probes: int = 2, least: float = 0.8, complete: bool = True) -> DataFrame:
     """groups of ``rows`` (doc_id, text, at), with at and first: the least (missing, doc_id, at) of the component."""
     path = scratch(rows.sparkSession, "simhash")
     exact = words == 1
-    most = (4 if exact else round((0.35 if complete else 0.235) * 64 * words)) if most is None else most
+    most = (4 if exact else round(NEAR * 64 * words)) if most is None else most
     if exact and not 0 <= most <= 4:
         raise ValueError("the two-segment tables hold links of at most four differing bits")
     prints = written(fingerprints(rows, shingle, words, 0 if exact else probes, least if complete else None), f"{path}/prints")
     own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "at")
     nodes = prints.groupBy("node", "print").agg(F.min(own).alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    nodes = written(nodes, f"{path}/nodes")
+    nodes = written(nodes.withColumn("id", F.col("node") if exact else F.xxhash64("print")), f"{path}/nodes")
     keyed = _ball_keys(nodes) if exact else _table_keys(nodes, words, probes)
-    edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linked(most), "a long, b long").distinct()
+    edges = keyed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_linked(most, round(FAR * 64 * words)), "a long, b long").distinct()
     if not exact:
-        near = written(components(contracted(edges)).withColumnRenamed("component", "group"), f"{path}/near")
+        # the sets whose prints are near to another one's or the same
+        met = components(contracted(edges)).select(F.col("node").alias("id"), "component")
+        same = nodes.groupBy("id").agg(F.count("*").alias("n"))
+        group = same.join(met, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("group"))
+        near = written(nodes.select("node", "id").join(group, "id").select("node", "group"), f"{path}/near")
         held = sieved(shingle_sets(rows, shingle), F.xxhash64("node"), near, F.xxhash64("node"), near.count(), "near").where("near").join(near, "node")
         edges = held.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_verified(least), "a long, b long")
     joined = nodes.select("node", "print", "least", "copies").join(components(edges), "node", "left")
@@ -334,7 +379,7 @@ def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: i
     return found.select("doc_id", F.lower(digits).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), "at", "first")
 
 
-def without_near_copies(docs: DataFrame, complete: bool = False, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(docs: DataFrame, complete: bool = True, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one row of each component, the first by id, then by place.
 
     Rows are told apart by the file and row of their content, so ids may repeat or be null (a null id is never first

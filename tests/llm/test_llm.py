@@ -530,10 +530,13 @@ def test_near_links_are_found(spark):
         texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
     assert linked >= 100
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for complete, least in ((False, 0.97), (True, 1.0)):
-        found = simhash.groups(df, complete=complete).where("component_id != doc_id").collect()
+    for complete, probes, least in ((False, 6, 0.97), (True, 2, 1.0), (True, 0, 1.0)):
+        found = simhash.groups(df, complete=complete, probes=probes).where("component_id != doc_id").collect()
         assert all(r.component_id == r.doc_id - 1 for r in found) and least * linked <= len(found) <= linked
-    assert simhash.prefix(np.arange(10, dtype=np.uint64), 0.8).tolist() == [0, 1, 2] and len(simhash.prefix(np.zeros(0, np.uint64), 0.8)) == 0
+    load = np.zeros(1 << simhash.LOAD_BITS, np.int64)
+    assert simhash.prefix(np.arange(10, dtype=np.uint64), 0.8, load).tolist() == [0, 1, 2] and len(simhash.prefix(np.zeros(0, np.uint64), 0.8, load)) == 0
+    load[0] = 5  # the bucket of small hashes is a common one
+    assert simhash.prefix(np.array([1, 2, 3, 1 << 60, 1 << 61], np.uint64), 0.8, load).tolist() == [1 << 60, 1 << 61]
 
 
 def test_sieve_never_misses(spark):
