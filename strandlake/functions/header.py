@@ -12,7 +12,8 @@ TAGGED = r"^([^:]*):([ifZAHB]):(.*)$"
 
 def header_tags(header: Column) -> Column:
     """The fields after the read's id as a map; the last of equal names counts (spark.sql.mapKeyDedupPolicy=LAST_WIN)."""
-    fields = F.slice(F.split(F.trim(F.regexp_replace(header, r"\s+", " ")), " "), 2, 10_000)
+    words = F.split(F.trim(F.regexp_replace(header, r"\s+", " ")), " ")
+    fields = F.slice(words, F.lit(2), F.size(words))
     pairs = F.transform(
         F.filter(fields, lambda f: f.rlike(TAGGED) | f.contains("=")),
         lambda f: F.when(f.rlike(TAGGED), F.struct(F.regexp_extract(f, TAGGED, 1).alias("key"), F.regexp_extract(f, TAGGED, 3).alias("value"))).otherwise(F.struct(F.substring_index(f, "=", 1).alias("key"), F.regexp_extract(f, "^[^=]*=(.*)$", 1).alias("value"))),

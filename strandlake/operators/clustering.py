@@ -78,9 +78,10 @@ def first_centres(keys: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select("key", "ord", F.coalesce("c.a", "key").alias("centre"), F.coalesce("c.ord_a", "ord").alias("centre_ord"))
 
 
-def star_clusters(keys: DataFrame, most: int) -> DataFrame:
-    """Greedy star clustering of distinct ``keys`` (key, ord) within ``most`` edits."""
-    return first_centres(keys, edit_neighbours(keys, most))
+def star_clusters(keys: DataFrame, most: int, also: Column | None = None) -> DataFrame:
+    """Greedy star clustering of distinct ``keys`` (key, ord) within ``most`` edits, of pairs (a, b) for which ``also`` holds."""
+    edges = edit_neighbours(keys, most)
+    return first_centres(keys, edges if also is None else edges.where(also))
 
 
 def near_neighbours(points: DataFrame, coordinates: list[str], within: int) -> DataFrame:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the vote's alignment, its letters in the order in which later ones win ties, and the best quality.
 MATCH, MISMATCH, GAP, LETTERS, BEST = 1, -1, -2, "ACGT-", 60
 
 
+UNCLEAR = re.compile("[^ACGT-]")
+
+
 def consensus_medoid(members: DataFrame, prefix: int = 75) -> DataFrame:
     """family, read_id, sequence, method: the read with the least sum of edit distances over the first ``prefix`` bases.
 
@@ -82,13 +86,16 @@ def align_to(anchor: str, query: str, band: int | None = None) -> str | None:
 
 
 def vote(sequences: list[str], band: int | None = None) -> tuple[str, list[int]]:
-    """The plurality letter of each column of the longest (last if equal) sequence, - included, and its qualities."""
+    """The plurality letter of each column of the longest (last if equal) sequence, - included, and its qualities.
+
+    U is T; any other letter says as little as a gap, and counts as one. The support is the share of all sequences.
+    """
     anchor = max(enumerate(sequences), key=lambda x: (len(x[1]), x[0]))[1]
     rows = [align_to(anchor, s, band) or align_to(anchor, s) for s in sequences]
     letters, quality = [], []
-    for column in zip(*(r.upper() for r in rows), strict=True):
+    total = len(rows)
+    for column in zip(*(UNCLEAR.sub("-", r.upper().replace("U", "T")) for r in rows), strict=True):
         n, _, best = max((column.count(c), k, c) for k, c in enumerate(LETTERS))
-        total = sum(column.count(c) for c in LETTERS)
         letters.append(best)
         quality.append(BEST if n >= total else min(BEST, max(0, round(-10 * np.log10(max(1e-6, 1 - n / total))))))
     return "".join(letters), quality
@@ -97,21 +104,26 @@ def vote(sequences: list[str], band: int | None = None) -> tuple[str, list[int]]
 def consensus_vote(members: DataFrame, band: int = 64) -> DataFrame:
     """family, sequence (gaps left out), quality (ASCII), n: majority vote over alignments to each family's longest read.
 
-    A family is one group; family_filter bounds its reads, so it is no unbounded one.
+    The only read of a family is its consensus as it is, with its own ``qual`` (null if there is none). A family is one
+    group; family_filter bounds its reads, so it is no unbounded one.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) == 1:
+            return pd.DataFrame({"family": group["family"], "sequence": group["seq"], "quality": group["qual"], "n": 1})
         letters, quality = vote(group.sort_values("ord")["seq"].tolist(), band)
         kept = [(c, q) for c, q in zip(letters, quality, strict=True) if c != "-"]
         return pd.DataFrame({"family": [group["family"].iloc[0]], "sequence": ["".join(c for c, _ in kept)], "quality": ["".join(chr(33 + q) for _, q in kept)], "n": [len(group)]})
 
-    return members.select("family", "ord", "seq").groupBy("family").applyInPandas(one, "family long, sequence string, quality string, n long")
+    qual = F.col("qual") if "qual" in members.columns else F.lit(None).cast("string")
+    return members.select("family", "ord", "seq", qual.alias("qual")).groupBy("family").applyInPandas(one, "family long, sequence string, quality string, n long")
 
 
 def column_votes(aligned: DataFrame) -> DataFrame:
-    """The vote itself natively, for rows (family, col, base): base, support and quality of each column."""
+    """The vote itself natively, for rows (family, col, base): base, support and quality of each column; letters as in vote."""
     order = F.instr(F.lit(LETTERS), F.col("base"))
-    counts = aligned.groupBy("family", "col", "base").agg(F.count("*").alias("n")).withColumn("k", order)
+    base = F.regexp_replace(F.translate("base", "U", "T"), "[^ACGT-]", "-")
+    counts = aligned.select("family", "col", base.alias("base")).groupBy("family", "col", "base").agg(F.count("*").alias("n")).withColumn("k", order)
     best = counts.groupBy("family", "col").agg(F.max(F.struct("n", "k", "base")).alias("b"), F.sum("n").alias("total"))
     share = F.col("b.n") / F.col("total")
     quality = F.when(F.col("b.n") >= F.col("total"), BEST).otherwise(F.least(F.lit(BEST), F.greatest(F.lit(0), F.round(-10 * F.log10(F.greatest(1 - share, F.lit(1e-6)))).cast("int"))))
@@ -123,6 +135,3 @@ def read_columns(members: DataFrame) -> DataFrame:
     bases = members.select("family", F.posexplode(F.split(F.upper("seq"), "")).alias("col", "base"))
     return bases.where("base != ''")
 
-
-def family_sizes(members: DataFrame) -> DataFrame:
-    return members.withColumn("n", F.count("*").over(Window.partitionBy("family")))

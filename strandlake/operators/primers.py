@@ -105,10 +105,20 @@ def amplicon_counters(matched: DataFrame, min_len: int, max_len: int, min_qs: fl
     return matched.agg(F.count("*").alias("raw"), F.count_if(fits).alias("in_length"), F.count_if(good).alias("in_quality"), F.count_if(good & any_primer).alias("with_primer"), F.count_if(good & F.col("amplicon").isNotNull()).alias("with_pair"), F.count_if(good & ~any_primer).alias("unmatched"))
 
 
-def amplicon_report(matched: DataFrame, min_len: int, max_len: int, min_qs: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Amplicons, primers and counters of the reads that pass."""
+def amplicon_report(matched: DataFrame, min_len: int, max_len: int, min_qs: float) -> DataFrame:
+    """The report of a run as one row: counters, and arrays of amplicons and primers (by name) of the reads that pass.
+
+    As many entries as there are names, so one document holds it.
+    """
     good = matched.where(F.col("length").between(min_len, max_len) & (F.col("qs") >= min_qs))
-    return amplicon_stats(good.where("amplicon IS NOT NULL")), primer_stats(good), amplicon_counters(matched, min_len, max_len, min_qs)
+
+    def listed(df: DataFrame, name: str, as_: str) -> DataFrame:
+        return df.agg(F.array_sort(F.collect_list(F.struct(name, *(c for c in df.columns if c != name)))).alias(as_))
+
+    counters = amplicon_counters(matched, min_len, max_len, min_qs)
+    amplicons = listed(amplicon_stats(good.where("amplicon IS NOT NULL")), "amplicon", "amplicons")
+    one = counters.select(F.struct(*counters.columns).alias("counters"))
+    return one.crossJoin(amplicons).crossJoin(listed(primer_stats(good), "primer", "primers"))  # one row each
 
 
 def coord_fast_path(reads: DataFrame, primers: DataFrame, tolerance: int) -> DataFrame:

@@ -98,8 +98,9 @@ def amplicon_stats_plain(reads: DataFrame) -> DataFrame:
 
 def run_stats(reads: DataFrame) -> DataFrame:
     """One row for each file and one for the whole run, in a single pass by grouping sets."""
-    reads.createOrReplaceTempView("__run_stats")
-    return reads.sparkSession.sql("SELECT coalesce(file, 'Whole Run') AS file, count(*) AS reads, sum(length) AS bases, avg(length) AS mean_length, avg(qs) AS mean_qs, max(length) AS longest FROM __run_stats GROUP BY GROUPING SETS ((), (file))")
+    sets = reads.groupingSets([[], [F.col("file")]], "file")
+    found = sets.agg(F.count("*").alias("reads"), F.sum("length").alias("bases"), F.avg("length").alias("mean_length"), F.avg("qs").alias("mean_qs"), F.max("length").alias("longest"))
+    return found.withColumn("file", F.coalesce("file", F.lit("Whole Run")))
 
 
 def align_counts(records: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alignment import iupac_distance
@@ -85,7 +85,8 @@ def _flip(seq: str) -> str:
 
 
 def _wildcards(seq: str, pattern: str) -> str | None:
-    return "".join(s for s, p in zip(seq, pattern, strict=True) if len(IUPAC_BASES[p]) > 1) if len(seq) == len(pattern) else None
+    """The bases at the pattern's open places; what is longer than the pattern is cut to its length, what is shorter has none."""
+    return "".join(s for s, p in zip(seq, pattern, strict=False) if len(IUPAC_BASES[p]) > 1) if len(seq) >= len(pattern) else None
 
 
 def detect(seq: str, mean_q: float, c: UmiConfig) -> dict | None:
@@ -115,7 +116,7 @@ def detect(seq: str, mean_q: float, c: UmiConfig) -> dict | None:
         r = r and (_flip(r[0]), r[1])
         f = _extract(tail, last[0], c.fwd_pattern, c, before=True) if last else None
     combined = f[0] + r[0] if f and r else None
-    normalized = None
+    normalized = combined
     if combined and c.normalize:
         a, b = _wildcards(f[0], c.fwd_pattern), _wildcards(r[0], c.rev_pattern)
         normalized = a + b if a is not None and b is not None else combined
@@ -144,19 +145,20 @@ def families_exact(keyed: DataFrame) -> DataFrame:
     return own.join(numbers.select("key", "family"), "key")
 
 
-def families_approx(keyed: DataFrame, most: int) -> DataFrame:
-    """As families_exact, of keys within ``most`` edits of the family's first: greedy, in order of arrival."""
+def families_approx(keyed: DataFrame, most: int, also: Column | None = None) -> DataFrame:
+    """As families_exact, of keys within ``most`` edits of the family's first: greedy, in order of arrival. ``also`` is asked of pairs of keys a and b."""
     own = keyed.where("key IS NOT NULL")
-    clusters = star_clusters(own.groupBy("key").agg(F.min("ord").alias("ord")), most)
+    clusters = star_clusters(own.groupBy("key").agg(F.min("ord").alias("ord")), most, also)
     numbers = numbered(clusters.groupBy("centre").agg(F.min("centre_ord").alias("first_ord")), "first_ord", name="family")
     named = clusters.join(numbers, "centre").select("key", "family", F.col("centre").alias("consensus_umi"))
     return own.join(named, "key")
 
 
 def families_identity(keyed: DataFrame, identity: float) -> DataFrame:
-    """The form by identity: at most (1 - identity) of the longest key's length may differ."""
+    """The form by identity: of each pair of keys, at most (1 - identity) of the longer one's length may differ."""
     longest = keyed.agg(F.max(F.length("key"))).first()[0] or 0
-    return families_approx(keyed, int(longest * (1 - identity) + 1e-9))
+    most = F.greatest(F.length("a"), F.length("b")) * (1 - identity) + 1e-9
+    return families_approx(keyed, int(longest * (1 - identity) + 1e-9), F.levenshtein("a", "b") <= most)
 
 
 def family_filter(members: DataFrame, min_reads: int, max_reads: int, balance: bool = False) -> DataFrame:

@@ -69,6 +69,24 @@ def top_amplicon_reads(assigned: DataFrame, k: int = 20, cap: int = 2000) -> Dat
     return own.withColumn("__k", F.row_number().over(Window.partitionBy("amplicon").orderBy("ord"))).where(F.col("__k") <= cap).drop("__k")
 
 
+def top_amplicon_variants(aligned: DataFrame, k: int = 20, cap: int = 2000, min_depth: int = 10, min_af: float = 0.02) -> DataFrame:
+    """amplicon, chrom, pos, ref, alt, af, depth: what the pileups of the k largest amplicons' reads show, each amplicon by itself.
+
+    ``aligned``: read_id, ord, amplicon, chrom, pos from 0, cigar, seq.
+    """
+    reads = top_amplicon_reads(aligned, k, cap).withColumn("chrom", F.struct("amplicon", "chrom"))
+    return pileup_variants(pileup_bases(reads), min_depth, min_af).select("chrom.amplicon", "chrom.chrom", "pos", "ref", "alt", "af", "depth")
+
+
+def update_amplicons(reads: DataFrame, names: DataFrame, mark: str = "_CONCAT") -> DataFrame:
+    """``reads`` (read_id, amplicon) with the later name (read_id, name) where there is one, and whether it is marked as a concatemer; the mark is no part of the name."""
+    later = names.groupBy("read_id").agg(F.max("name").alias("__name"))
+    name = F.coalesce("__name", "amplicon")
+    joined = reads.join(later, "read_id", "left").withColumn("amplicon", name).drop("__name")
+    marked = F.endswith("amplicon", F.lit(mark))
+    return joined.withColumn("concatemer", marked).withColumn("amplicon", F.when(marked, F.expr(f"left(amplicon, length(amplicon) - {len(mark)})")).otherwise(F.col("amplicon")))
+
+
 def sort_variants(variants: DataFrame) -> DataFrame:
     return variants.orderBy(*KEY)
 

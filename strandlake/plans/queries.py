@@ -168,7 +168,7 @@ def fuzzy_contains(spark, d):
     return derive.reads(spark, d).select("read_id", S.fuzzy_contains(F.col("seq"), ANCHOR, 2).alias("found"))
 
 
-@query(f"""WITH t AS (SELECT read_id, substr(seq, 1, 60) AS t FROM {READS}),
+@query(f"""WITH t AS (SELECT read_id, seq AS t FROM {READS}),
     x AS (SELECT read_id, levenshtein(substr(t, CAST(i AS BIGINT), CAST(w AS BIGINT)), '{PRIMER}') AS d FROM t, LATERAL (SELECT unnest(range(1, length(t) + 2)) AS i), (SELECT unnest(range(9, 16)) AS w))
     SELECT read_id, CASE WHEN min(d) <= 3 THEN CAST(min(d) AS INTEGER) END AS dist FROM x GROUP BY read_id""")
 def semiglobal_distance(spark, d):
@@ -177,16 +177,16 @@ def semiglobal_distance(spark, d):
     return derive.reads(spark, d).select("read_id", distance(PRIMER, 3)(F.col("seq")).alias("dist"))
 
 
-@query(f"""WITH t AS (SELECT read_id, substr(seq, 1, 60) AS t FROM {READS}),
+@query(f"""WITH t AS (SELECT read_id, seq AS t FROM {READS}),
     x AS (SELECT read_id, levenshtein(substr(t, CAST(i AS BIGINT), CAST(w AS BIGINT)), '{PRIMER}') AS d FROM t, LATERAL (SELECT unnest(range(1, length(t) + 2)) AS i), (SELECT unnest(range(9, 16)) AS w))
     SELECT read_id, CASE WHEN min(d) <= 3 THEN CAST(min(d) AS INTEGER) END AS dist FROM x GROUP BY read_id""")
 def semiglobal_native(spark, d):
     return derive.reads(spark, d).select("read_id", S.semiglobal_native(F.col("seq"), PRIMER, 3).alias("dist"))
 
 
-@query(f"""WITH t AS (SELECT read_id, substr(seq, 1, 60) AS t FROM {READS}),
+@query(f"""WITH t AS (SELECT read_id, seq AS t FROM {READS}),
     x AS (SELECT read_id, i + w - 1 AS e, levenshtein(substr(t, CAST(i AS BIGINT), CAST(w AS BIGINT)), '{PRIMER}') AS d FROM t, LATERAL (SELECT unnest(range(1, length(t) + 2)) AS i), (SELECT unnest(range(9, 16)) AS w) WHERE i + w - 1 <= length(t))
-    SELECT read_id, CAST(min(d) AS INTEGER) AS dist, CAST(arg_min(e, d * 1000 + e) AS INTEGER) AS "end" FROM x GROUP BY read_id HAVING min(d) <= 3""")
+    SELECT read_id, CAST(min(d) AS INTEGER) AS dist, CAST(arg_min(e, d * 1000000000 + e) AS INTEGER) AS "end" FROM x GROUP BY read_id HAVING min(d) <= 3""")
 def semiglobal_find(spark, d):
     from ..functions.alignment import semiglobal_find as find
 
@@ -698,7 +698,7 @@ def primer_stats(spark, d):
 
 @query()
 def amplicon_report(spark, d):
-    return primers.amplicon_counters(_matched(spark, d).withColumn("qs", F.col("ord") % 20), 300, 3000, 7)
+    return primers.amplicon_report(_matched(spark, d).withColumn("qs", F.col("ord") % 20), 300, 3000, 7)
 
 
 @query("""WITH p AS (SELECT p_partkey, 'X' || (p_partkey % 5) || CASE p_partkey % 3 WHEN 0 THEN '_F' WHEN 1 THEN '_R' ELSE '' END AS a, 'X' || (p_partkey % 4) || CASE p_partkey % 7 WHEN 0 THEN '_F' WHEN 1 THEN '_R' ELSE '' END AS b FROM part)
@@ -813,7 +813,7 @@ def consensus_vote(spark, d):
     return consensus.consensus_vote(_filtered(spark, d).where("written"), band=40)
 
 
-@query(f"""{FILTERED}, b AS (SELECT family, CAST(p AS INTEGER) - 1 AS col, substr(seq, CAST(p AS BIGINT), 1) AS base FROM w JOIN (SELECT read_id, substr(seq, 1, 50) AS seq FROM {READS}) AS r USING (read_id), LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS p)),
+@query(f"""{FILTERED}, b AS (SELECT family, CAST(p AS INTEGER) - 1 AS col, substr(seq, CAST(p AS BIGINT), 1) AS base FROM w JOIN (SELECT read_id, seq FROM {READS}) AS r USING (read_id), LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS p)),
     c AS (SELECT family, col, base, count(*) AS n FROM b GROUP BY 1, 2, 3) SELECT family, col, base, n AS support FROM c QUALIFY row_number() OVER (PARTITION BY family, col ORDER BY n DESC, instr('ACGT-', base) DESC) = 1""")
 def column_votes(spark, d):
     return consensus.column_votes(consensus.read_columns(_filtered(spark, d))).select("family", "col", "base", "support")
@@ -875,7 +875,7 @@ def sv_matrix(spark, d):
     return structural.sv_matrix(_links(spark, d), derive.contigs(spark), near=1000)
 
 
-@query(f"""WITH b AS (SELECT sample AS chrom, CAST(i AS BIGINT) AS pos, substr(seq, CAST(i AS BIGINT), 1) AS base FROM {READS}, LATERAL (SELECT unnest(range(1, least(length(seq), 40) + 1)) AS i)), c AS (SELECT chrom, pos, base, count(*) AS n FROM b GROUP BY 1, 2, 3),
+@query(f"""WITH b AS (SELECT sample AS chrom, CAST(i AS BIGINT) AS pos, substr(seq, CAST(i AS BIGINT), 1) AS base FROM {READS}, LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS i)), c AS (SELECT chrom, pos, base, count(*) AS n FROM b GROUP BY 1, 2, 3),
     r AS (SELECT *, sum(n) OVER (PARTITION BY chrom, pos) AS depth, first_value(base) OVER (PARTITION BY chrom, pos ORDER BY n DESC, base) AS ref FROM c)
     SELECT chrom, pos, ref, base AS alt, round(n / depth, 9) AS af, CAST(depth AS BIGINT) AS depth FROM r WHERE depth >= 10 AND base <> ref AND n / depth >= 0.2""")
 def pileup_variants(spark, d):
@@ -911,17 +911,20 @@ def variant_candidates(spark, d):
     return variants.candidates(a, a.join(seen, "name").select("file", "name"), 1000).select("file", "name", "avg_qs")
 
 
-@query(f"WITH t AS (SELECT amplicon FROM {READS} GROUP BY amplicon ORDER BY count(*) DESC, amplicon LIMIT 2) SELECT amplicon, read_id FROM {READS} JOIN t USING (amplicon) QUALIFY row_number() OVER (PARTITION BY amplicon ORDER BY ord) <= 50")
+@query(f"""WITH t AS (SELECT amplicon FROM {READS} GROUP BY amplicon ORDER BY count(*) DESC, amplicon LIMIT 2), w AS (SELECT amplicon, sample, seq FROM {READS} JOIN t USING (amplicon) QUALIFY row_number() OVER (PARTITION BY amplicon ORDER BY ord) <= 50),
+    b AS (SELECT amplicon, sample AS chrom, CAST(i AS BIGINT) AS pos, substr(seq, CAST(i AS BIGINT), 1) AS base FROM w, LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS i)), c AS (SELECT amplicon, chrom, pos, base, count(*) AS n FROM b GROUP BY 1, 2, 3, 4),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY amplicon, chrom, pos) AS depth, first_value(base) OVER (PARTITION BY amplicon, chrom, pos ORDER BY n DESC, base) AS ref FROM c)
+    SELECT amplicon, chrom, pos, ref, base AS alt, round(n / depth, 9) AS af, CAST(depth AS BIGINT) AS depth FROM r WHERE depth >= 5 AND base <> ref AND n / depth >= 0.02""")
 def top_amplicon_variants(spark, d):
-    return variants.top_amplicon_reads(derive.reads(spark, d), 2, 50).select("amplicon", "read_id")
+    a = derive.reads(spark, d).select("read_id", "ord", "amplicon", F.col("sample").alias("chrom"), F.lit(0).cast("long").alias("pos"), F.concat(F.col("length").cast("string"), F.lit("M")).alias("cigar"), "seq")
+    return variants.top_amplicon_variants(a, 2, 50, 5).withColumn("af", F.round("af", 9))
 
 
 @query(f"SELECT read_id, CASE WHEN ord % 3 = 0 THEN 'new' ELSE amplicon END AS amplicon, ord % 6 = 0 AS concatemer FROM {READS}")
 def read_amplicon_update(spark, d):
     r = derive.reads(spark, d)
-    update = r.where("ord % 3 = 0").select("read_id", F.when(F.expr("ord % 6 = 0"), F.lit("new_CONCAT")).otherwise(F.lit("new")).alias("__new"))
-    joined = r.join(update, "read_id", "left").withColumn("name", F.coalesce("__new", "amplicon"))
-    return joined.select("read_id", F.regexp_replace("name", "_CONCAT$", "").alias("amplicon"), F.endswith("name", F.lit("_CONCAT")).alias("concatemer"))
+    later = r.where("ord % 3 = 0").select("read_id", F.when(F.expr("ord % 6 = 0"), F.lit("new_CONCAT")).otherwise(F.lit("new")).alias("name"))
+    return variants.update_amplicons(r.select("read_id", "amplicon"), later)
 
 
 @query("""WITH a AS (SELECT p_partkey AS name, p_retailprice / 2000 AS v FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey AS name, p_retailprice / 2000 + (p_partkey % 3) * 0.04 AS v FROM part WHERE p_partkey % 7 <> 0)
@@ -939,7 +942,7 @@ def handoff_join(spark, d):
     return variants.handoff(snaps, sheet)[0].select("barcode", "records", "sample", "mismatch")
 
 
-@query(f"SELECT chrom, pos, alt FROM ({V}) WHERE pos < 50 ORDER BY chrom, pos, alt")
+@query(f"SELECT chrom, pos, alt FROM ({V}) ORDER BY chrom, pos, alt")
 def sort_outputs(spark, d):
     return variants.sort_variants(_variants(spark, d)).select("chrom", "pos", "alt")
 

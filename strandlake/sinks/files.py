@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import file_system
+
 
 def fastq_record(header: Column, seq: Column, qual: Column) -> Column:
     """Four lines as one value; a leading @ is added once, missing qualities are I."""
@@ -24,14 +30,40 @@ def sink_fastq_by_key(reads: DataFrame, path: str, key: str, header: str = "head
 
 
 def sink_json(df: DataFrame, path: str, mode: str = "error") -> None:
+    """One JSON object a line, in as many files as there are partitions."""
     df.write.mode(mode).json(path)
 
 
-def pretty_json(df: DataFrame) -> str:
-    """A result of few rows as indented JSON."""
-    import json
+def sink_atomic(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """A single file in any store that Spark writes to: written aside, then renamed, so it is there whole or not at all."""
+    store, at = file_system(spark, path)
+    aside = at.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = store.create(aside)
+    for part in parts:
+        out.write(bytearray(part.encode()))
+    out.close()
+    if store.exists(at):
+        store.delete(at, False)
+    store.rename(aside, at)
+
+
+def json_document(df: DataFrame) -> Iterator[str]:
+    """The rows as one indented JSON array, piece by piece; the driver holds a partition at a time."""
+    rows = (json.dumps(json.loads(r), indent=2) for r in df.toJSON().toLocalIterator())
+    yield "["
+    for k, row in enumerate(rows):
+        yield ("," if k else "") + "\n  " + row.replace("\n", "\n  ")
+    yield "\n]\n"
 
-    return json.dumps([json.loads(r) for r in df.toJSON().take(10_000)], indent=2)
+
+def sink_json_document(df: DataFrame, path: str) -> None:
+    """One JSON document, whole or not at all."""
+    sink_atomic(df.sparkSession, path, json_document(df))
+
+
+def pretty_json(df: DataFrame) -> str:
+    """json_document as a string, for results that are meant to be read."""
+    return "".join(json_document(df))
 
 
 def sink_umi_tsv(found: DataFrame, path: str) -> None:
@@ -66,8 +98,6 @@ def sink_duplex_pairs(pairs: DataFrame, path: str) -> None:
 
 def sink_bam(rows: DataFrame, path: str, contigs: list[tuple[str, int]], text: str = "@HD\tVN:1.6\n") -> None:
     """A BAM file for each partition below ``path``, a folder that all share; written aside and renamed when whole."""
-    import uuid
-
     from pyspark import TaskContext
 
     from ..sources.bam import encode

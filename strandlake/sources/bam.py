@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fastq import PER_FILE, ranked
+
 #: Fixed values of the format.
 OPS, BASES, EMPTY_BLOCK = "MIDNSHP=X", "=ACMGRSVTWYHKDBN", bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SIZES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
@@ -114,14 +116,15 @@ def encode(text: str, contigs: list[tuple[str, int]], rows: list[dict]) -> bytes
 
 
 def scan_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """alignments: file, ord, read_id, flag, chrom (null if unmapped), pos from 0, mapq, cigar, seq, scores, tags."""
+    """alignments: file, ord (unique, in order of file name and place), read_id, flag, chrom (null if unmapped), pos from 0, mapq, cigar, seq, scores, tags."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"(?i)\.bam$"))
+    files = ranked(files.select("path", "content"))
 
     def read(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows, k = [], 0
-                for k, r in enumerate(records(inflate(content))):
+            for name, content, rank in zip(batch["path"], batch["content"], batch["rank"], strict=True):
+                rows = []
+                for k, r in enumerate(records(inflate(content)), rank * PER_FILE):
                     rows.append({"file": name, "ord": k, **r})
                     if len(rows) == 4096:
                         yield pd.DataFrame(rows)
@@ -129,7 +132,7 @@ def scan_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows)
 
-    return files.select("path", "content").mapInPandas(read, f"file string, ord long, {SCHEMA}")
+    return files.mapInPandas(read, f"file string, ord long, {SCHEMA}")
 
 
 def scan_contigs(spark: SparkSession, path: str | list[str]) -> DataFrame:

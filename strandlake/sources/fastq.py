@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.header import header_read_id
+from ..operators.clustering import numbered
 
 SCHEMA = "file string, ord long, header string, seq string, qual string, malformed boolean"
 SUFFIXES = ("fastq", "fq")
@@ -64,19 +65,29 @@ def _partial(raw: bytes) -> bytes:
     return zlib.decompressobj(wbits=31).decompress(raw)
 
 
+#: Reads that a file can have before ord would meet the next file's.
+PER_FILE = 1 << 32
+
+
+def ranked(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) with ``rank``, their place in the order of paths. The listing is numbered without their contents."""
+    return files.join(numbered(files.select("path"), "path", name="rank"), "path")
+
+
 def scan_fastq(spark: SparkSession, path: str | list[str], mode: str = "exact") -> DataFrame:
     """reads: file, ord (unique, in order of file name and place), read_id, header, seq, qual, malformed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = ranked(files.where(F.col("path").rlike(PATTERN)).select("path", "content"))
 
     def read(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = parse(content, mode)
+            for name, content, rank in zip(batch["path"], batch["content"], batch["rank"], strict=True):
+                rows, first = parse(content, mode), rank * PER_FILE
                 for k in range(0, len(rows), 4096):
                     part = rows[k : k + 4096]
-                    yield pd.DataFrame({"file": name, "ord": range(k, k + len(part)), "header": [r[0] for r in part], "seq": [r[1] for r in part], "qual": [r[2] for r in part], "malformed": [r[3] for r in part]})
+                    yield pd.DataFrame({"file": name, "ord": range(first + k, first + k + len(part)), "header": [r[0] for r in part], "seq": [r[1] for r in part], "qual": [r[2] for r in part], "malformed": [r[3] for r in part]})
 
-    reads = files.where(F.col("path").rlike(PATTERN)).select("path", "content").mapInPandas(read, SCHEMA)
+    reads = files.mapInPandas(read, SCHEMA)
     return reads.withColumn("read_id", header_read_id(F.col("header"))).select("file", "ord", "read_id", "header", "seq", "qual", "malformed")
 
 

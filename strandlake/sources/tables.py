@@ -9,15 +9,20 @@ from ..functions.names import normalize_barcode
 from ..functions.timing import parse_summary_time
 
 
+def _place():
+    """A value that orders rows by file, block of the file and place in it, however the blocks are dealt to tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, ord) without empty lines and comments; ord follows files and lines."""
-    return spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("ord")).where("line != '' AND line NOT LIKE '#%'")
+    return spark.read.text(path).select(F.trim("value").alias("line"), _place().alias("ord")).where("line != '' AND line NOT LIKE '#%'")
 
 
-def scan_summary(spark: SparkSession, path: str) -> DataFrame:
-    """A run summary with named columns, whatever they are, as text; - and empty are null. Tabs, gzip too."""
+def scan_summary(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """A run summary with named columns, whatever they are, as text; - and empty are null. Tabs, gzip too. ``place`` names a column that orders the rows."""
     df = spark.read.csv(path, sep="\t", header=True)
-    return df.select(*(F.when(~F.trim(F.col(f"`{c}`")).isin("-", ""), F.trim(F.col(f"`{c}`"))).alias(c) for c in df.columns))
+    return df.select(*([_place().alias(place)] if place else []), *(F.when(~F.trim(F.col(f"`{c}`")).isin("-", ""), F.trim(F.col(f"`{c}`"))).alias(c) for c in df.columns))
 
 
 def _optional(df: DataFrame, *names: str):
@@ -27,7 +32,7 @@ def _optional(df: DataFrame, *names: str):
 
 def scan_summary_timing(spark: SparkSession, path: str) -> DataFrame:
     """read_id, s_ch, s_mx, s_start, s_duration: a row under its read's id and one under its parent's; the last row of an id counts."""
-    df = scan_summary(spark, path).withColumn("__ord", F.monotonically_increasing_id())
+    df = scan_summary(spark, path, "__ord")
     own = df.select(
         _optional(df, "read_id", "parent_read_id").alias("read_id"), _optional(df, "parent_read_id").alias("parent_id"), _optional(df, "channel").try_cast("long").alias("s_ch"), _optional(df, "mux").try_cast("long").alias("s_mx"),
         parse_summary_time(_optional(df, "start_time")).alias("s_start"), _optional(df, "duration", "template_duration").try_cast("double").alias("s_duration"), "__ord",
@@ -125,21 +130,21 @@ def scan_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_barcode_map(spark: SparkSession, path: str) -> DataFrame:
     """barcode, sample, type, assay, library_type of a CSV or TSV; a barcode, or a sample's type, twice is an error."""
-    lines = [r[0] for r in spark.read.text(path).where("trim(value) != ''").limit(10_000).collect()]  # a run has at most some hundred barcodes
-    sep = "\t" if lines and "\t" in lines[0] else ","
-    rows, default = [], ("", "", "T", "bcr_abl", "cdna")
-    for line in lines:
-        cells = [c.strip() for c in line.split(sep)]
-        if cells[0].lower() in ("barcode", "") or cells[0].startswith("#"):
-            continue
-        digits = cells[0].lower().removeprefix("barcode").removeprefix("bc")
-        if not digits.isdigit():
-            raise ValueError(f"not a barcode: {cells[0]}")
-        rows.append((f"barcode{int(digits):02d}", *(cells[k] if len(cells) > k and cells[k] else default[k] for k in range(1, 5))))
-    for key in ([r[0] for r in rows], [r[1:3] for r in rows]):
-        if len(set(key)) < len(key):
+    lines = spark.read.text(path).select("value", _place().alias("ord")).where("trim(value) != ''")
+    first = lines.orderBy("ord").first()
+    cells = F.transform(F.split("value", "\t" if first and "\t" in first["value"] else ","), lambda c: F.trim(c))
+    name = F.lower(cells[0])
+    rows = lines.where(~name.isin("barcode", "") & ~F.startswith(name, F.lit("#"))).select(F.regexp_replace(name, "^(barcode|bc)", "").alias("digits"), cells.alias("cells"))
+    wrong = rows.where(~F.col("digits").rlike("^[0-9]+$")).first()
+    if wrong:
+        raise ValueError(f"not a barcode: {wrong['cells'][0]}")
+    cell = lambda k, default: F.coalesce(F.nullif(F.get("cells", F.lit(k)), F.lit("")), F.lit(default))
+    number = F.col("digits").cast("int").cast("string")
+    out = rows.select(F.concat(F.lit("barcode"), F.lpad(number, F.greatest(F.length(number), F.lit(2)), F.lit("0"))).alias("barcode"), cell(1, "").alias("sample"), cell(2, "T").alias("type"), cell(3, "bcr_abl").alias("assay"), cell(4, "cdna").alias("library_type"))
+    for key in (["barcode"], ["sample", "type"]):
+        if not out.groupBy(*key).count().where("count > 1").isEmpty():
             raise ValueError("a barcode or a sample's type is listed twice")
-    return spark.createDataFrame(rows, "barcode string, sample string, type string, assay string, library_type string")
+    return out
 
 
 def scan_tsv_comments(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +163,7 @@ def scan_isoforms(results: DataFrame) -> DataFrame:
 
 def scan_workflow_log(spark: SparkSession, path: str) -> DataFrame:
     """ord, done, total, percent, rule, failed_rule of a workflow's log lines that say any of them."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
+    rows = spark.read.text(path).select(_place().alias("ord"), F.col("value").alias("line"))
     steps = lambda k: F.regexp_extract("line", r"([0-9]+) of ([0-9]+) steps \(([0-9.]+)%\) done", k)
     failed = F.nullif(F.regexp_extract("line", r"Error in rule ([A-Za-z0-9_]+):", 1), F.lit(""))
     rule = F.nullif(F.regexp_extract("line", r"^\s*(?:local)?rule ([A-Za-z0-9_]+):", 1), F.lit(""))

@@ -70,3 +70,35 @@ def test_ledger_and_waits():
     assert run.total == 150
     run.finish(100)
     assert run.total == 200
+
+
+def test_ord_is_unique_over_files(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.fastq").write_text("".join(RECORD.format(f"{name}{k}") for k in range(3)))
+        (tmp_path / f"{name}.bam").write_bytes(bam.encode("@HD\n", [("chr9", 300)], [{"read_id": f"r{name}{k}", "flag": 4, "seq": "A"} for k in range(3)]))
+    want = [f"r{n}{k}" for n in "abc" for k in range(3)]
+    for scan in (fastq.scan_fastq, bam.scan_bam):
+        got = scan(spark, str(tmp_path))
+        assert [r.read_id for r in got.orderBy("ord").collect()] == want and got.select("ord").distinct().count() == 9
+        assert [r.read_id for r in got.repartition(5).orderBy("ord").limit(4).collect()] == want[:4]
+
+
+def test_barcode_map_has_no_end(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "m.csv").write_text("barcode,sample\n" + "".join(f"bc{k},s{k}\n" for k in range(1, 12_001)))
+    assert tables.scan_barcode_map(spark, str(tmp_path / "m.csv")).count() == 12_000
+    for text in ("1,a\n01,b\n", "1,a\n2,a\n", "x1,a\n"):
+        (tmp_path / "m.csv").write_text(text)
+        with pytest.raises(ValueError):
+            tables.scan_barcode_map(spark, str(tmp_path / "m.csv"))
+
+
+def test_one_json_document(spark, tmp_path):
+    import json
+
+    df = spark.range(0, 12_000, 1, 5).selectExpr("id", "named_struct('x', id * 2) AS s")
+    files.sink_json_document(df, f"file://{tmp_path}/out.json")
+    files.sink_json_document(df.orderBy("id"), f"file://{tmp_path}/out.json")
+    assert json.loads((tmp_path / "out.json").read_text()) == [{"id": k, "s": {"x": 2 * k}} for k in range(12_000)]
+    assert json.loads(files.pretty_json(df.limit(0))) == [] and not [p for p in tmp_path.iterdir() if p.name.endswith(".tmp")]

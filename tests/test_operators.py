@@ -122,3 +122,76 @@ def test_primer_errors_and_chimeras(spark):
     two = spark.createDataFrame([("x", one[:-1] + p[0].seq + one, "I" * (2 * len(one) + 19)), ("y", one, "I" * len(one))], "read_id string, seq string, qual string")
     got = sorted((x.read_id, len(x.seq) == len(x.qual)) for x in primers.chimera_split(two, p[:1], 0, 150).collect())
     assert got == [("x_split1", True), ("x_split2", True), ("y", True)]
+
+
+def test_long_umis_are_cut_to_their_pattern():
+    from strandlake.operators import umi
+
+    c = umi.UmiConfig("ACGTACGTAC", "TTGCATTGCA", "NNNTNNN", "NNNTNNN", max_edit=2, window=60, min_umi=2, gate=False)
+    assert umi._wildcards("AACTGGACC", "NNNTNNN") == "AACGGA" and umi._wildcards("AACTG", "NNNTNNN") is None
+    assert umi._wildcards("AACTGGA", "NNNTNNN") == umi._wildcards("AACTGGACC", "NNNTNNN")
+    seq = "GG" + c.fwd_context + "AACTGGA" + "G" * 100 + c.rev_context + "CCATAAC" + "GG"
+    found = umi.detect(seq, 20.0, c)
+    assert found["combined"] == "AACTGGACCATAAC" and found["normalized"] == "AACGGACCAAAC"
+    plain = umi.detect(seq, 20.0, umi.UmiConfig(**{**c.__dict__, "normalize": False}))
+    assert plain["normalized"] == plain["combined"] == found["combined"]
+
+
+def test_umi_families_are_those_of_a_plain_search(spark):
+    """umi_pipeline and the form by identity, against greedy clustering of all reads one after the other."""
+    import random
+
+    from strandlake.operators import umi
+
+    rnd = random.Random(14)
+    centres = ["".join(rnd.choices("ACGT", k=rnd.choice([10, 12, 14]))) for _ in range(12)]
+    keys = []
+    for _ in range(150):
+        k = list(rnd.choice(centres))
+        for _ in range(rnd.randint(0, 3)):
+            k[rnd.randrange(len(k))] = rnd.choice("ACGT")
+        keys.append("".join(k)[: rnd.choice([9, 14])])
+
+    def edits(a, b):
+        return umi._levenshtein(a, b, 99)
+
+    def greedy(near):
+        heads, out = [], []
+        for k in keys:
+            hit = next((i for i, h in enumerate(heads) if near(h, k)), None)
+            if hit is None:
+                hit = len(heads)
+                heads.append(k)
+            out.append(hit)
+        return out
+
+    df = spark.createDataFrame(list(enumerate(keys)), "ord long, key string").repartition(3)
+    got = {r.ord: r.family for r in umi.families_approx(df, 3).collect()}
+    assert [got[k] for k in range(150)] == greedy(lambda h, k: edits(h, k) <= 3)
+    for identity in (0.75, 0.9):
+        got = {r.ord: r.family for r in umi.families_identity(df, identity).collect()}
+        assert [got[k] for k in range(150)] == greedy(lambda h, k: edits(h, k) <= (1 - identity) * max(len(h), len(k)) + 1e-9)
+
+
+def test_consensus_of_one_read_and_of_unclear_letters(spark):
+    from strandlake.operators import consensus
+
+    df = spark.createDataFrame([(1, 0, "ACGNT", "5678!"), (2, 0, "ACGT", "IIII"), (2, 1, "ANNN", "IIII"), (2, 2, "ACGU", "IIII"), (3, 0, "AC", None)], "family long, ord long, seq string, qual string")
+    got = {r.family: r for r in consensus.consensus_vote(df).collect()}
+    assert (got[1].sequence, got[1].quality) == ("ACGNT", "5678!") and (got[3].sequence, got[3].quality) == ("AC", None)
+    third = chr(33 + 5)  # two of three: -10 log10(1/3)
+    assert (got[2].sequence, got[2].quality) == ("ACGT", chr(33 + 60) + third * 3)
+    votes = {(r.family, r.col): r for r in consensus.column_votes(consensus.read_columns(df)).collect()}
+    assert (votes[2, 1].base, votes[2, 1].support, votes[2, 1].total, votes[2, 1].quality) == ("C", 2, 3, 5) and votes[1, 3].base == "-"
+
+
+def test_report_and_updates(spark):
+    from strandlake.operators import primers, variants
+
+    m = spark.createDataFrame([("r1", 500, 9.0, "X", "p1", "p2", 0, 1), ("r2", 600, 9.0, "X", "p1", None, 2, None), ("r3", 10, 9.0, None, None, None, None, None)], "read_id string, length int, qs double, amplicon string, start_primer string, end_primer string, start_dist int, end_dist int")
+    r = primers.amplicon_report(m, 100, 1000, 7).collect()
+    assert len(r) == 1 and (r[0].counters.raw, r[0].counters.with_pair) == (3, 2)
+    assert [(a.amplicon, a["count"]) for a in r[0].amplicons] == [("X", 2)] and [(p.primer, p.matches) for p in r[0].primers] == [("p1", 2), ("p2", 1)]
+    names = spark.createDataFrame([("r1", "Y_CONCAT"), ("r2", "Z")], "read_id string, name string")
+    got = {x.read_id: (x.amplicon, x.concatemer) for x in variants.update_amplicons(m.select("read_id", "amplicon"), names).collect()}
+    assert got["r1"] == ("Y", True) and got["r2"] == ("Z", False) and got["r3"][0] is None
