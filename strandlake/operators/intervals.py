@@ -40,18 +40,58 @@ def shared_bases(start: str = "start", end: str = "end", r_start: str = "r_start
     return F.greatest(F.lit(0), F.least(F.col(end), F.col(r_end)) - F.greatest(F.col(start), F.col(r_start)))
 
 
+#: Bytes of merged targets, cut at bins, that travel to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def _few(targets: DataFrame) -> bool:
+    """Whether the targets' bins fit BROADCAST_BYTES: 40 bytes a piece and a bin."""
+    last = targets.groupBy("chrom").agg(F.max("end").alias("end"), F.sum(F.floor((F.col("end") - F.col("start")) / BIN) + 2).alias("pieces"))
+    n = last.agg(F.sum(F.floor(F.col("end") / BIN) + 1 + F.col("pieces"))).first()[0] or 0
+    return 40 * n <= BROADCAST_BYTES
+
+
+def _bins(targets: DataFrame) -> DataFrame:
+    """chrom, __bins: for each bin from 0 on, the pieces (s, e) of disjoint targets in it."""
+    pieces = _binned(targets.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "start", "end", BIN)
+    piece = F.struct(F.greatest("start", F.col("__bin") * BIN).alias("s"), F.least("end", (F.col("__bin") + 1) * BIN).alias("e"))
+    held = pieces.groupBy("chrom", "__bin").agg(F.collect_list(piece).alias("t"))
+    every = held.groupBy("chrom").agg(F.max("__bin").alias("last")).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("__bin"))
+    filled = every.join(held, ["chrom", "__bin"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<struct<s: bigint, e: bigint>>")))
+    rows = filled.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("__bin", "t"))).alias("b"))
+    return rows.select("chrom", F.col("b.t").alias("__bins"))
+
+
+def _on_bins(start: Column, end: Column) -> Column:
+    """Bases of [start, end) on the pieces in ``__bins``; null where there are none."""
+    first = F.floor(start / BIN).cast("int")
+    near = F.flatten(F.slice("__bins", first + 1, F.greatest(F.floor((end - 1) / BIN).cast("int") - first, F.lit(0)) + 1))
+    return F.aggregate(near, F.lit(0).cast("long"), lambda a, t: a + F.greatest(F.lit(0).cast("long"), F.least(end, t.e) - F.greatest(start, t.s)))
+
+
 def interval_overlap(blocks: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Per key of ``blocks`` (key, chrom, start, end): bases on merged targets; keys without any are absent."""
+    """Per key of ``blocks`` (key, chrom, start, end): bases on merged targets; keys without any are absent.
+
+    Targets that fit BROADCAST_BYTES travel as arrays of bins, and each block sums its own bases where it is, so a bin
+    that most reads hit is no one's load; more targets meet the blocks in a join on bins.
+    """
+    if _few(targets):
+        own = blocks.join(F.broadcast(_bins(targets)), "chrom").withColumn("__on", _on_bins(F.col("start").cast("long"), F.col("end").cast("long")))
+        return own.where(F.col("__on") > 0).groupBy(key).agg(F.sum("__on").alias("overlap"))
     right = targets.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     return overlap_join(blocks, right).groupBy(key).agg(F.sum(shared_bases()).alias("overlap"))
 
 
 def on_target(alignments: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per alignment (read_id, chrom, pos, blocks, pore): aligned and on-target bases; those without aligned bases are dropped."""
-    blocks = alignments.select("read_id", "chrom", F.explode("blocks").alias("b")).select("read_id", "chrom", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
-    hit = interval_overlap(blocks, targets, "read_id")
+    """Per alignment (read_id, chrom, pos, blocks, pore): aligned and on-target bases; those without aligned bases are dropped. ``targets`` are merged."""
     aligned = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + (b.end - b.start))
-    return alignments.withColumn("aligned", aligned).where("aligned > 0").join(hit, "read_id", "left").withColumn("on_bases", F.coalesce("overlap", F.lit(0))).drop("overlap")
+    own = alignments.withColumn("aligned", aligned).where("aligned > 0")
+    if _few(targets):
+        each = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + _on_bins(b.start, b.end))
+        return own.join(F.broadcast(_bins(targets)), "chrom", "left").withColumn("on_bases", F.coalesce(each, F.lit(0).cast("long"))).drop("__bins")
+    blocks = own.select("read_id", "chrom", F.explode("blocks").alias("b")).select("read_id", "chrom", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
+    hit = interval_overlap(blocks, targets, "read_id")
+    return own.join(hit, "read_id", "left").withColumn("on_bases", F.coalesce("overlap", F.lit(0))).drop("overlap")
 
 
 def enrichment(measured: DataFrame, target_size: int, genome_size: int) -> DataFrame:

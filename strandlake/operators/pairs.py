@@ -18,11 +18,12 @@ def make_pe(reads: DataFrame, insert: int, length: int, step: int) -> DataFrame:
         raise ValueError("a fragment needs 0 < length <= insert and a step")
     long = reads.where((F.length("seq") >= insert) & (F.length("qual") >= insert))
     starts = F.sequence(F.lit(0), F.least(F.length("seq"), F.length("qual")) - insert, F.lit(step))
-    f = long.select("read_id", "seq", "qual", F.posexplode(starts).alias("frag", "start"))
-    first, second = F.col("start") + 1, F.col("start") + (1 + insert - length)
-    cut = lambda c, at: F.substr(c, at, F.lit(length))
+    cut = lambda c, at: F.substr(F.col(c), at + 1, F.lit(length))
+    # the pieces are cut before the rows multiply, so no fragment carries the whole read
+    piece = lambda at: F.struct(cut("seq", at).alias("s1"), cut("qual", at).alias("q1"), cut("seq", at + (insert - length)).alias("s2"), cut("qual", at + (insert - length)).alias("q2"))
+    f = long.select("read_id", F.posexplode(F.transform(starts, lambda at: piece(at))).alias("frag", "p"))
     name = lambda k: F.concat("read_id", F.lit("_f"), F.col("frag").cast("string"), F.lit(f"/{k}"))
-    return f.select("read_id", "frag", name(1).alias("r1_id"), cut("seq", first).alias("r1_seq"), cut("qual", first).alias("r1_qual"), name(2).alias("r2_id"), reverse_complement(cut("seq", second)).alias("r2_seq"), F.reverse(cut("qual", second)).alias("r2_qual"))
+    return f.select("read_id", "frag", name(1).alias("r1_id"), F.col("p.s1").alias("r1_seq"), F.col("p.q1").alias("r1_qual"), name(2).alias("r2_id"), reverse_complement(F.col("p.s2")).alias("r2_seq"), F.reverse("p.q2").alias("r2_qual"))
 
 
 def pe_summary(reads: DataFrame, insert: int, step: int) -> DataFrame:

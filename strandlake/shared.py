@@ -15,6 +15,16 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(context._jsc.hadoopConfiguration()), at
 
 
+def replace_file(spark: SparkSession, source, target) -> None:
+    """Rename one Hadoop path to another, in one step even where a file is there already."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    options = context._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), context._jsc.hadoopConfiguration()).rename(source, target, options)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 

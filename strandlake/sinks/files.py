@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import file_system
+from ..shared import file_system, replace_file
 
 
 def fastq_record(header: Column, seq: Column, qual: Column) -> Column:
@@ -42,9 +42,7 @@ def sink_atomic(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
     for part in parts:
         out.write(bytearray(part.encode()))
     out.close()
-    if store.exists(at):
-        store.delete(at, False)
-    store.rename(aside, at)
+    replace_file(spark, aside, at)
 
 
 def json_document(df: DataFrame) -> Iterator[str]:

@@ -102,3 +102,55 @@ def test_one_json_document(spark, tmp_path):
     files.sink_json_document(df.orderBy("id"), f"file://{tmp_path}/out.json")
     assert json.loads((tmp_path / "out.json").read_text()) == [{"id": k, "s": {"x": 2 * k}} for k in range(12_000)]
     assert json.loads(files.pretty_json(df.limit(0))) == [] and not [p for p in tmp_path.iterdir() if p.name.endswith(".tmp")]
+
+
+def test_half_written_files_wait_and_are_tried_again(spark, tmp_path, monkeypatch):
+    run = tmp_path / "run" / "barcode03"
+    run.mkdir(parents=True)
+    whole = gzip.compress("".join(RECORD.format(k) for k in range(200)).encode())
+    (run / "a.fastq").write_text(RECORD.format("a"))
+    (run / "cut.fastq.gz").write_bytes(whole[: len(whole) // 2])
+    (run / ".hidden.fastq").write_text(RECORD.format("x"))
+    (run / "empty.fastq").write_text("")
+    monkeypatch.setattr(live, "retry_wait", lambda attempts, once=False: 0.0)
+    reads = live.watch_run(spark, f"file://{tmp_path}/run", f"file://{tmp_path}/ledger", stable=0)
+    query = live.write_segments(reads, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", once=False, seconds=1)
+    seen = lambda: {r.read_id for r in spark.read.parquet(f"file://{tmp_path}/out/segments").collect()}
+
+    def until(check):
+        import time
+
+        for _ in range(120):
+            try:
+                if check():
+                    return True
+            except Exception:
+                assert query.isActive, query.exception()
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert until(lambda: seen() == {"ra"} and list((tmp_path / "ledger" / "failed").glob("*.json")))
+        (run / "cut.fastq.gz").write_bytes(whole)  # the writer has caught up
+        assert until(lambda: len(seen()) == 201)
+    finally:
+        query.stop()
+    snaps = live.Snapshots(spark, f"file://{tmp_path}/out")
+    snaps.compact(["barcode", "read_id"])
+    got = snaps.read()
+    assert got.count() == 201 == got.select("ord").distinct().count() and {r.barcode for r in got.select("barcode").distinct().collect()} == {"barcode03"}
+
+
+def test_readiness():
+    assert live.ready(11, 5, 5) and not live.ready(9, 5, 5) and not live.ready(11, 5, None) and not live.ready(11, 6, 5) and not live.ready(11, 0, 0)
+
+
+def test_generations_fold_by_size(spark, tmp_path):
+    snaps = live.Snapshots(spark, f"file://{tmp_path}")
+    for k, n in enumerate([5000, 10, 10, 10_000]):
+        spark.range(k * 100_000, k * 100_000 + n).selectExpr("id", "uuid() AS v").write.parquet(f"file://{tmp_path}/segments/batch={k}")
+        assert snaps.compact(["id"]) == k + 1
+        assert snaps.read().select("id").distinct().count() == snaps.read().count()
+    assert snaps.read().count() == 15_020 and snaps.current()["parts"] == [4]
+    assert snaps.compact(["id"]) == 4
+    assert [p.name for p in tmp_path.glob("generation=*")] == ["generation=4"] and not list((tmp_path / "segments").glob("batch=*"))

@@ -195,3 +195,22 @@ def test_report_and_updates(spark):
     names = spark.createDataFrame([("r1", "Y_CONCAT"), ("r2", "Z")], "read_id string, name string")
     got = {x.read_id: (x.amplicon, x.concatemer) for x in variants.update_amplicons(m.select("read_id", "amplicon"), names).collect()}
     assert got["r1"] == ("Y", True) and got["r2"] == ("Z", False) and got["r3"][0] is None
+
+
+def test_overlaps_by_bins_and_by_join_agree(spark, monkeypatch):
+    import random
+
+    from strandlake.operators import intervals
+
+    rnd = random.Random(8)
+    at = sorted(rnd.sample(range(0, 200_000), 60))
+    targets = spark.createDataFrame([("c1", a, b) for a, b in zip(at[::2], at[1::2], strict=True)] + [("c2", 0, 70_000)], "chrom string, start long, end long")
+    reads = [(k, rnd.choice(["c1", "c2", "c3"]), [(s, s + rnd.randint(0, 40_000)) for s in sorted(rnd.sample(range(0, 250_000), 3))], 1) for k in range(200)]
+    df = spark.createDataFrame(reads, "read_id long, chrom string, blocks array<struct<start: long, end: long>>, pore int").withColumn("pos", F.col("blocks.start")[0])
+    own = {(r.chrom, r.start, r.end) for r in targets.collect()}
+    want = {k: sum(max(0, min(e, y) - max(s, x)) for s, e in blocks for c2, x, y in own if c == c2) for k, c, blocks, _ in reads}
+    blocks = df.select("read_id", "chrom", F.explode("blocks").alias("b")).select("read_id", "chrom", "b.start", "b.end")
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(intervals, "BROADCAST_BYTES", limit)
+        assert {r.read_id: r.on_bases for r in intervals.on_target(df, targets).collect()} == {k: v for k, v in want.items() if sum(e - s for s, e in reads[k][2])}
+        assert {r.read_id: r.overlap for r in intervals.interval_overlap(blocks, targets, "read_id").collect()} == {k: v for k, v in want.items() if v}
