@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECONDARY, SUPPLEMENTARY = 0x100, 0x800
@@ -105,18 +105,47 @@ def time_bounds(reads: DataFrame, start: str = "start_time") -> DataFrame:
     return reads.agg(F.min(start).alias("first_start"), F.max(start).alias("last_start"))
 
 
-def filter_convert_route(source: str, target: str) -> tuple[str, str]:
-    """Formats of a conversion by file names: bam or fastq on either side."""
+def file_kind(path: str) -> str:
+    """bam or fastq, by the name."""
+    low = path.lower()
+    if low.endswith(".bam"):
+        return "bam"
+    if low.removesuffix(".gz").endswith((".fastq", ".fq")):
+        return "fastq"
+    raise ValueError(f"neither BAM nor FASTQ: {path}")
 
-    def kind(path: str) -> str:
-        low = path.lower()
-        if low.endswith(".bam"):
-            return "bam"
-        if low.removesuffix(".gz").endswith((".fastq", ".fq")):
-            return "fastq"
-        raise ValueError(f"neither BAM nor FASTQ: {path}")
 
-    return kind(source), kind(target)
+def filter_convert(spark: SparkSession, source: str, target: str, f: ReadFilter, to: str = "auto", *, kind: str = "auto", compress: bool = False) -> None:
+    """The reads of ``source`` (a file, or a folder if ``kind`` says of what) that pass, as files below ``target``, in any of the four routes.
+
+    ``to`` is bam or fastq; auto goes by the name of ``target``. What comes from BAM are its primary records, in reading
+    direction and without an aligner's tags; into BAM go unaligned records. Qualities, ids, channels and times travel as
+    tags or header fields.
+    """
+    from ..functions import header as H
+    from ..functions import quality as Q
+    from ..functions.timing import parse_timestamp_multi
+    from ..sinks.files import sink_bam, sink_fastq
+    from ..sources.bam import scan_bam, unaligned_copy
+    from ..sources.fastq import scan_fastq
+
+    came = file_kind(source) if kind == "auto" else kind
+    goes = file_kind(target) if to == "auto" else to
+    if came == "bam":
+        own = unaligned_copy(scan_bam(spark, source))
+        qual = F.when(F.exists("scores", lambda q: q != 255), F.array_join(F.transform("scores", Q.phred_to_ascii), ""))
+        tag = lambda *names: F.coalesce(*(F.try_element_at("tags", F.lit(n)) for n in names))
+        fields = F.array_join(F.transform(F.map_entries("tags"), lambda t: F.concat(t.key, F.lit(":Z:"), t.value)), " ")
+        own = own.withColumns({"qual": qual, "channel": tag("ch").try_cast("long"), "start_time": parse_timestamp_multi(tag("st")), "qv": Q.bam_qv(F.col("tags"), F.col("scores"), F.lit(False)), "header": F.trim(F.concat(F.lit("@"), "read_id", F.lit(" "), fields))})
+    else:
+        m = H.parse_header(scan_fastq(spark, source))
+        split = H.is_split_read(F.col("meta.read_id"), F.col("meta.parent_read_id"))
+        own = m.withColumns({"channel": F.col("meta.channel"), "start_time": parse_timestamp_multi(F.col("meta.start_time")), "qv": Q.read_mean_qv(F.col("meta.mean_qscore"), F.col("qual"), split), "flag": F.lit(4), "scores": Q.ascii_scores(F.col("qual")), "tags": H.header_tags(F.col("header"))})
+    kept = filter_reads(own, f)
+    if goes == "bam":
+        sink_bam(kept.select("read_id", "flag", "seq", "scores", "tags"), target, [])
+    else:
+        sink_fastq(kept.select("header", "seq", "qual"), target, compress=compress)
 
 
 def export_reads(reads: DataFrame, assigned: DataFrame, amplicons: list[str]) -> DataFrame:

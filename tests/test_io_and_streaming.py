@@ -154,3 +154,21 @@ def test_generations_fold_by_size(spark, tmp_path):
     assert snaps.read().count() == 15_020 and snaps.current()["parts"] == [4]
     assert snaps.compact(["id"]) == 4
     assert [p.name for p in tmp_path.glob("generation=*")] == ["generation=4"] and not list((tmp_path / "segments").glob("batch=*"))
+
+
+def test_conversions(spark, tmp_path):
+    from strandlake.operators.filters import ReadFilter, filter_convert
+
+    (tmp_path / "a.fastq").write_text("@r1 ch:i:5 qs:f:12.0\nACGTAC\n+\nIIIIII\n@r2 ch:i:9\nACG\n+\nIII\n@r3 ch:i:700\nACGTACGT\n+\nIIIIIIII\n")
+    f = ReadFilter(min_len=4, channels=(1, 512))
+    filter_convert(spark, f"{tmp_path}/a.fastq", f"file://{tmp_path}/one.bam", f)
+    got = bam.scan_bam(spark, f"{tmp_path}/one.bam").collect()
+    assert [(r.read_id, r.seq, r.flag, r.chrom, r.scores, r.tags["ch"]) for r in got] == [("r1", "ACGTAC", 4, None, [40] * 6, "5")]
+    (tmp_path / "b.bam").write_bytes(bam.encode("@HD\n", [("chr9", 300)], [{"read_id": n, "flag": g, "chrom": "chr9", "pos": 1, "cigar": "5M", "seq": "AACGT", "scores": [20, 30, 30, 30, 30], "tags": {"ch": c}} for n, g, c in (("p", 16, "7"), ("p", 0x900, "7"), ("q", 0, "600"))]))
+    filter_convert(spark, f"{tmp_path}/b.bam", f"file://{tmp_path}/two", f, "fastq")
+    rows = spark.read.text(f"{tmp_path}/two").collect()
+    assert [r.value for r in rows][1:4] == ["ACGTT", "+", "????5"] and rows[0].value.split()[0] == "@p" and len(rows) == 4
+    filter_convert(spark, f"{tmp_path}/a.fastq", f"file://{tmp_path}/three", f, "fastq")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/three").collect()] == ["@r1 ch:i:5 qs:f:12.0", "ACGTAC", "+", "IIIIII"]
+    filter_convert(spark, f"{tmp_path}/b.bam", f"file://{tmp_path}/four.bam", ReadFilter())
+    assert sorted((r.read_id, r.seq, r.flag) for r in bam.scan_bam(spark, f"{tmp_path}/four.bam").collect()) == [("p", "ACGTT", 4), ("q", "AACGT", 4)]

@@ -214,3 +214,30 @@ def test_overlaps_by_bins_and_by_join_agree(spark, monkeypatch):
         monkeypatch.setattr(intervals, "BROADCAST_BYTES", limit)
         assert {r.read_id: r.on_bases for r in intervals.on_target(df, targets).collect()} == {k: v for k, v in want.items() if sum(e - s for s, e in reads[k][2])}
         assert {r.read_id: r.overlap for r in intervals.interval_overlap(blocks, targets, "read_id").collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_ends_and_discovery(spark):
+    from strandlake.operators import discovery
+
+    rnd = random.Random(17)
+    base = lambda n: "".join(rnd.choices("ACGT", k=n))
+    adapter = base(24)
+    df = spark.createDataFrame([("m", "c1", "3H5S10M4S", "AAAAACCCCCGGGGGTTTT"), ("u", None, None, adapter + "ACGT" * 10), ("e", None, None, "")], "read_id string, chrom string, cigar string, seq string")
+    got = {r.read_id: r for r in discovery.biological_ends(df, 6, adapter).collect()}
+    assert (got["m"].start_region, got["m"].end_region, got["m"].begins_at, got["m"].ends_at) == ("CCCCCG", "CGGGGG", 5, 15)
+    assert (got["u"].start_region, got["u"].end_region) == ("ACGTAC", "GTACGT") and got["e"].start_region is None
+    assert discovery.biological_ends(df, 6, adapter_end=2).where("read_id = 'u'").first().start_region == adapter[2:8]
+
+    ends = [(base(30), base(30)) for _ in range(3)]
+    close = (ends[0][0][:-1] + ("A" if ends[0][0][-1] != "A" else "C"), ends[0][1])  # a variant of the first, one edit away
+    reads, truth = [], {}
+    for k in range(160):
+        kind = k % 5 if k % 5 < 4 else 1
+        a, b = [*ends, close][kind]
+        reads.append((f"r{k}", base(k % 3 if k % 11 == 0 else 0) + a + base(80) + b))
+        truth[f"r{k}"] = 0 if kind == 3 else kind
+    reads += [(f"x{k}", base(140)) for k in range(10)]
+    found = {r.read_id: r.amplicon for r in discovery.discover_amplicons(spark.createDataFrame(reads, "read_id string, seq string")).collect()}
+    assert all(found[f"x{k}"] is None for k in range(10))
+    assert len({(found[r], t) for r, t in truth.items()}) == 3 and {found[r] for r in truth} == {"D1", "D2", "D3"}
+    assert found["r2"] == "D3" and discovery.merged_pairs([("ACGTACGTAC", "A" * 10), ("ACGTACGTAA", "A" * 10), ("T" * 10, "A" * 10)], [5, 9, 1]) == [1, 1, 2]
