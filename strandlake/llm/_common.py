@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable
@@ -52,7 +53,7 @@ def fetch(path: str) -> bytes:
         return f.read()
 
 
-def released(cache: Callable):
+def released(cache: Callable | None = None):
     """For a function over batches: once a task is done, its worker forgets what ``cache`` holds and returns unused memory.
 
     Idle workers stay beside the tasks of later stages, which need the executor's memory.
@@ -63,9 +64,12 @@ def released(cache: Callable):
             try:
                 yield from run(batches)
             finally:
-                cache.cache_clear()
+                if cache:
+                    cache.cache_clear()
                 gc.collect()
                 pa.default_memory_pool().release_unused()
+                if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+                    trim(0)
 
         return until_done
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, texts, written
+from ._common import released, scratch, texts, written
 from .unit_encoding import library_encoder
 
 PIECE = "struct<doc_id: long, piece: int, start: long, length: int, crc: long, offset: int>"
@@ -69,6 +69,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     path = scratch(docs.sparkSession, "packing")
     schema = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("items", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("offset", pa.int32())])))])
 
+    @released()
     def encode(batches):
         encoder = library_encoder(tokenizer)
         end = np.array([end_id], encoder.code)
@@ -99,6 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
         yield pa.RecordBatch.from_pylist(rows, schema)
 
     def merge(level: int):
+        @released()
         def run(batches):
             held = [b for b in batches if b.num_rows]
             if not held:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, join_few, located, scratch, sieved, slices, texts, without_places, written
+from ._common import fresh, join_few, located, released, scratch, sieved, slices, texts, without_places, written
 from .components import components
 
 SEED = 42
@@ -164,6 +164,7 @@ def print_ids(prints: np.ndarray) -> np.ndarray:
 def _by_run(column: str, runs):
     """A function over batches sorted by ``column`` that hands ``runs`` whole runs of equal values."""
 
+    @released()
     def link(batches):
         held = None
         for batch in batches:
@@ -208,6 +209,7 @@ def _runs(table: pa.Table, most: int, far: int):
 def loads(rows: DataFrame, shingle: int) -> np.ndarray:
     """How many texts have a shingle in each bucket, counting each distinct one: a table of fixed size."""
 
+    @released()
     def count(batches):
         total = np.zeros(1 << LOAD_BITS, np.int64)
         for batch in slices(batches):
@@ -232,6 +234,7 @@ def fingerprints(rows: DataFrame, shingle: int, words: int = 1, probes: int = 0,
 
     load = rows.sparkSession.sparkContext.broadcast(loads(rows, shingle)) if least is not None else None
 
+    @released()
     def make(batches):
         for batch in slices(batches):
             hashes = [shingle_hashes(t, shingle) for t in batch["text"].to_pylist()]
@@ -267,6 +270,7 @@ def set_node(hashes: np.ndarray) -> int:
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of every whole text: its sorted distinct shingle hashes, 8 bytes each, little-endian."""
 
+    @released()
     def make(batches):
         for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
@@ -296,8 +300,9 @@ def _table_keys(nodes: DataFrame, words: int, probes: int) -> DataFrame:
     """(key, print) of wide fingerprints: probed keys, and what else ``keys`` has, as keys apart from those."""
     segments = 64 * words // SEGMENT
 
+    @released()
     def make(batches):
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 256):
             if not batch.num_rows:
                 continue
             own, held = batch["print"].to_pylist(), batch["keys"].to_pylist()
