@@ -361,7 +361,7 @@ def _groups(rows: DataFrame, shingle: int = 5, most: int | None = None, words: i
     most = (4 if exact else round(NEAR * 64 * words)) if most is None else most
     if exact and not 0 <= most <= 4:
         raise ValueError("the two-segment tables hold links of at most four differing bits")
-    prints = written(fingerprints(rows, shingle, words, 0 if exact else probes, least if complete else None), f"{path}/prints")
+    prints = written(fingerprints(rows, shingle, words, 0 if exact else probes, least if complete and not exact else None), f"{path}/prints")
     own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "at")
     nodes = prints.groupBy("node", "print").agg(F.min(own).alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("id", F.col("node") if exact else F.xxhash64("print")), f"{path}/nodes")
