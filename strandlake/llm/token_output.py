@@ -40,7 +40,7 @@ def to_planes(ids: np.ndarray, bits: int, kind: str) -> list[bytes]:
     raw = ids.astype(f"<u{bits // 8}").view(np.uint8).reshape(len(ids), bits // 8)
     if kind == "byte":
         return [np.ascontiguousarray(raw[:, k]).tobytes() for k in range(bits // 8)]
-    planes = np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T, axis=1, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(np.unpackbits(raw, axis=1, bitorder="little").T), axis=1, bitorder="little")
     return [p.tobytes() for p in planes]
 
 
@@ -142,6 +142,10 @@ class ShardReader:
         return np.concatenate(parts) if parts else np.zeros(0, f"<u{self.bits // 8}")
 
 
+#: Units that a worker remembers (about 150 bytes each, and as many of the generation before).
+UNITS = 800_000
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, *, id_col: str = "doc_id", text_col: str = "text", kind: str = "bit", block_tokens: int = 1 << 16) -> list[dict]:
     """Encode every text, append ``end_id`` and write the ids in ascending id order below ``path``, a folder that all share.
 
@@ -154,7 +158,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     dealt = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def shard(batches):
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, UNITS)
         store, folder = store_of(path)
         name = f"shard-{TaskContext.get().partitionId():06d}.planes"
         aside = f"{folder}/.{name}.{uuid.uuid4().hex}"

@@ -81,7 +81,7 @@ def byte_letters() -> dict[int, str]:
 class LibraryEncoder:
     """ids(text) as array of ids, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,8 +93,8 @@ class LibraryEncoder:
         self.code = "H" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "I"
         self.letters = {ord(c): x for c, x in ((chr(b), s) for b, s in byte_letters().items())}
         self.kind = self._kind(spec)
-        self.after_space = UnitMemory(self._after_space)
-        self.words = UnitMemory(self._word_end)
+        self.after_space = UnitMemory(self._after_space, limit)
+        self.words = UnitMemory(self._word_end, limit)
         self.words[""] = b""
         self.marks = UnitMemory(lambda marks: self._pack([t.id for t in self.model.tokenize(marks)]))
 
@@ -147,6 +147,6 @@ class LibraryEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def library_encoder(path: str) -> LibraryEncoder:
-    """One encoder for each worker process and file, kept from task to task."""
-    return LibraryEncoder(path)
+def library_encoder(path: str, limit: int = 300_000) -> LibraryEncoder:
+    """One encoder for each worker process and file, kept from task to task; it remembers at most twice ``limit`` units."""
+    return LibraryEncoder(path, limit)
