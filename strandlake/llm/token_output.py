@@ -48,8 +48,10 @@ def from_planes(planes: list[bytes], n: int, bits: int, kind: str) -> np.ndarray
     if kind == "byte":
         raw = np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1)
     else:
-        stacked = np.stack([np.frombuffer(p, np.uint8) for p in planes])
-        raw = np.packbits(np.unpackbits(stacked, axis=1, count=n, bitorder="little").T, axis=1, bitorder="little")
+        ids = np.zeros(n, f"<u{bits // 8}")
+        for k, p in enumerate(planes):
+            ids |= np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little").astype(ids.dtype) << ids.dtype.type(k)
+        return ids
     return np.ascontiguousarray(raw).reshape(-1).view(f"<u{bits // 8}")
 
 
