@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by a queue over merge ranks.
 
 A pre-token's bytes form a linked list. Each neighbouring pair that is a token waits in the bucket of its rank; a
-two-level bitmap says which buckets hold anything, and find-first-set gives the lowest such rank. Within a bucket the
-leftmost position is next. A merge changes the two pairs beside it; their old entries stay and are skipped when they
+two-level bitmap says which buckets hold anything, and find-first-set gives the lowest such rank. Within a bucket, a heap
+once it is begun, the leftmost position is next. A merge changes the two pairs beside it; their old entries stay and are skipped when they
 come up, as they no longer state the pair's rank. The time is nearly linear in the pre-tokens' length, where a search
 of all pairs before each merge would be quadratic. Pre-tokens seen before are remembered, within bounds.
 """
@@ -13,6 +13,7 @@ import base64
 import functools
 import hashlib
 from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ def merge(pieces: list[bytes], file: RankFile) -> list[list[int]]:
     first[(stops - sizes)[sizes > 0]] = -1
     after, before, stated, end = list(range(1, n + 2)), first.tolist(), pairs.tolist(), np.repeat(stops, sizes).tolist()
 
-    top, words, buckets = 0, {}, {}
+    top, words, buckets, begun = 0, {}, {}, set()  # ``begun``: ranks of buckets that are heaps already
     held = np.flatnonzero(pairs >= 0)
     held = held[np.argsort(pairs[held], kind="stable")]
     ranks, cuts = np.unique(pairs[held], return_index=True)
@@ -69,8 +70,12 @@ def merge(pieces: list[bytes], file: RankFile) -> list[list[int]]:
         if not bits:
             top ^= 1 << word
         bucket = buckets.pop(rank)
-        bucket.sort()
-        for done, i in enumerate(bucket, 1):
+        if rank in begun:
+            begun.discard(rank)
+        else:
+            heapify(bucket)
+        while bucket:
+            i = heappop(bucket)
             if stated[i] != rank:
                 continue
             j = after[i]
@@ -82,7 +87,9 @@ def merge(pieces: list[bytes], file: RankFile) -> list[list[int]]:
                 made = get(data[i : after[k]])
                 if made is not None:
                     stated[i] = made
-                    if made in buckets:
+                    if made in begun:
+                        heappush(buckets[made], i)
+                    elif made in buckets:
                         buckets[made].append(i)
                     else:
                         buckets[made] = [i]
@@ -97,7 +104,9 @@ def merge(pieces: list[bytes], file: RankFile) -> list[list[int]]:
                     stated[h] = -1
                 else:
                     stated[h] = made
-                    if made in buckets:
+                    if made in begun:
+                        heappush(buckets[made], h)
+                    elif made in buckets:
                         buckets[made].append(h)
                     else:
                         buckets[made] = [h]
@@ -105,8 +114,9 @@ def merge(pieces: list[bytes], file: RankFile) -> list[list[int]]:
                         words[word] = words.get(word, 0) | 1 << (made & low_bits)
                         top |= 1 << word
                     least = min(least, made)
-            if least < rank and done < len(bucket):  # a lower rank has come up: it is next
-                buckets[rank] = bucket[done:]
+            if least < rank and bucket:  # a lower rank has come up: it is next
+                buckets[rank] = bucket
+                begun.add(rank)
                 word = rank >> WORD_BITS
                 words[word] = words.get(word, 0) | 1 << (rank & low_bits)
                 top |= 1 << word
@@ -123,15 +133,20 @@ def merge(pieces: list[bytes], file: RankFile) -> list[list[int]]:
 
 
 class ByteBpe:
-    """encode and decode by a rank file (base64 token, space, rank on each line) and a pre-token pattern."""
+    """encode and decode by a rank file (base64 token, space, rank on each line) and a pre-token pattern.
 
-    def __init__(self, path: str, pattern: str):
+    ``by_units`` says that the pattern ends a pre-token wherever a space or newline follows a non-space, and that a word
+    of one case is a pre-token with the space before it: texts are then looked up by such units. Any pattern may go without.
+    """
+
+    def __init__(self, path: str, pattern: str, by_units: bool = False):
         import regex
 
         self.file = RankFile(path)
         self.tokens = {i: t for t, i in self.file.ranks.items()}
         self.code = "H" if max(self.tokens) < 1 << 16 else "I"
         self.pre_tokens = regex.compile(pattern).findall
+        self.units_of = plain_units if by_units else lambda text: None
         self.pieces = BatchMemory(self._pieces)
         self.units = BatchMemory(self._units)
 
@@ -148,8 +163,8 @@ class ByteBpe:
         return [b"".join(map(ids.__getitem__, s)) for s in split]
 
     def encode(self, texts: list[str]) -> list[array]:
-        """The ids of each text. The pattern ends a pre-token wherever a space or newline follows a non-space, so texts are looked up by such units."""
-        units = [plain_units(t) if t else None for t in texts]
+        """The ids of each text."""
+        units = [self.units_of(t) if t else None for t in texts]
         firsts = [self.pre_tokens(t if u is None else u[0]) for t, u in zip(texts, units, strict=True)]
         pieces = self.pieces.of({p for f in firsts for p in f})
         known = self.units.of({u for us in units if us for u in us[1:]})
@@ -179,15 +194,15 @@ def batches_of(texts: list[str], chars: int = 4_000_000):
 
 
 @functools.lru_cache(maxsize=2)
-def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+def byte_bpe(path: str, pattern: str, by_units: bool) -> ByteBpe:
+    return ByteBpe(path, pattern, by_units)
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, by_units: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text. A null text is empty and has no ids; ids may repeat or be null."""
 
     def encode(batches):
-        bpe = byte_bpe(ranks, pattern)
+        bpe = byte_bpe(ranks, pattern, by_units)
         for batch in batches:
             each = batch["text"].to_pylist()
             ids = [x for cut in batches_of(each) for x in bpe.encode(each[cut])]
@@ -196,14 +211,14 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, id_col: str =
     return texts(docs, id_col, text_col).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks: str, pattern: str, *, by_units: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode the ids again, giving digests instead of the ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     One narrow pass: nothing is shuffled, and a task holds one batch of texts. Nulls as in encode_documents.
     """
 
     def digests(batches):
-        bpe = byte_bpe(ranks, pattern)
+        bpe = byte_bpe(ranks, pattern, by_units)
         shown = {i: str(i) for i in bpe.tokens}.__getitem__
         for batch in batches:
             n, of_ids, of_bytes = [], [], []

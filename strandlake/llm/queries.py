@@ -23,7 +23,7 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_codec.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, by_units=True)
 
 
 def op3_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

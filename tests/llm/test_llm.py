@@ -52,17 +52,28 @@ def test_token_planes(spark, docs, tmp_path):
 def test_byte_bpe(docs):
     import tiktoken
 
-    bpe = bpe_codec.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    bpe = bpe_codec.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, by_units=True)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.file.ranks, special_tokens={})
     rnd = random.Random(4)
     many = [t for _, t in whole(docs)] + ["".join(rnd.choice("theringaon' ") for _ in range(90)) for _ in range(300)] + ["ab" * 20000]
     assert [x.tolist() for x in bpe.encode(many)] == [enc.encode_ordinary(t) for t in many]
     assert all(bpe.decode(x) == t.encode() for x, t in zip(bpe.encode(many), many, strict=True))
-    got = {r.doc_id: r for r in bpe_codec.round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    got = {r.doc_id: r for r in bpe_codec.round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, by_units=True).collect()}
     assert got[1].n_tokens == 0 and len(got) == len({i for i, _ in whole(docs)})
     assert [len(r.ids) for r in bpe_codec.encode_documents(docs.where("doc_id = 15"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()] == [len(enc.encode_ordinary("z" * 9000))]
 
 
+@pytest.mark.parametrize("pattern", [r"\S+\s*|\s+", r"(?s).+", r"\w+ ?|[^\w]+"])
+def test_byte_bpe_of_any_pattern(pattern):
+    import tiktoken
+
+    bpe = bpe_codec.ByteBpe(P.path("byte_bpe_50k.tiktoken"), pattern)
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.file.ranks, special_tokens={})
+    rnd = random.Random(8)
+    many = ["the rings of the tree", "One Two\nthree  four", "", " ", "Ünï çode \U0001f600 and more"] + ["".join(rnd.choice("theringaon' \n") for _ in range(400)) for _ in range(60)] + ["ab" * 3000 + "the" * 2000]
+    assert [x.tolist() for x in bpe.encode(many)] == [enc.encode_ordinary(t) for t in many]
+
+
 def test_token_counts(docs):
     import sentencepiece
 
