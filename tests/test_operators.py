@@ -1,8 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import clustering, consensus, filters, intervals, pairs, pore, primers, stats, umi
+from strandlake.operators import barcodes, clustering, consensus, filters, intervals, pairs, pore, primers, stats, umi
 
 
 def test_merge_and_overlap(spark):
@@ -241,3 +242,93 @@ def test_ends_and_discovery(spark):
     assert all(found[f"x{k}"] is None for k in range(10))
     assert len({(found[r], t) for r, t in truth.items()}) == 3 and {found[r] for r in truth} == {"D1", "D2", "D3"}
     assert found["r2"] == "D3" and discovery.merged_pairs([("ACGTACGTAC", "A" * 10), ("ACGTACGTAA", "A" * 10), ("T" * 10, "A" * 10)], [5, 9, 1]) == [1, 1, 2]
+
+
+def test_lanes_are_those_of_a_plain_search(spark):
+    rnd = random.Random(12)
+    rows = [(k, rnd.choice("ab"), s, s + rnd.randint(1, 40)) for k, s in enumerate(rnd.randint(0, 300) for _ in range(80))]
+    want, ends = {}, {"a": [], "b": []}
+    for k, by, start, end in sorted(rows, key=lambda r: (r[2], r[3], r[0])):
+        lane = next((x for x, last in enumerate(ends[by]) if last + 5 <= start), len(ends[by]))
+        ends[by][lane:lane + 1] = [end]
+        want[k] = lane
+    got = intervals.lane_assign(spark.createDataFrame(rows, "ord long, region string, start long, end long"), "region")
+    assert {r.ord: r.lane for r in got.collect()} == want
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_duplex_pairs_are_those_of_a_plain_search(spark):
+    rnd, flip = random.Random(13), str.maketrans("ACGT", "TGCA")
+    rows, tail = [], ""
+    for k in range(60):
+        head = "".join(rnd.choices("ACGT", k=60))
+        if rnd.random() < 0.6 and tail:
+            head = "".join(rnd.choice("ACGT") if rnd.random() < 0.1 else c for c in tail[::-1].translate(flip))
+        tail = "".join(rnd.choices("ACGT", k=60)) if rnd.random() < 0.7 else head[::-1].translate(flip)
+        rows.append((f"r{k:02}", k // 30, 1, float(k), rnd.choice([800, 1000, 1400]), head, tail))
+    want = set()
+    for pore_id in (0, 1):
+        own = [r for r in rows if r[1] == pore_id]
+        k = 0
+        while k + 1 < len(own):
+            a, b = own[k], own[k + 1]
+            like = 1 - plain_distance(a[6], b[5][::-1].translate(flip)) / 60
+            hit = b[4] <= a[4] + 500 and like > 0.7
+            if hit:
+                want.add((pore_id, a[0], b[0], round(like, 9)))
+            k += 2 if hit else 1
+    got = pairs.duplex_pairs(spark.createDataFrame(rows, "read_id string, ch long, mx long, start_s double, length long, head string, tail string"))
+    assert {(r.ch, r.first, r.second, round(r.identity, 9)) for r in got.collect()} == want
+    assert len(want) > 5
+
+
+def test_density_is_near_to_that_of_all_values(spark):
+    rnd = random.Random(14)
+    values = [rnd.gauss(300, 40) for _ in range(400)] + [rnd.gauss(700, 60) for _ in range(200)]
+    n, mean = len(values), sum(values) / len(values)
+    width = (sum((v - mean) ** 2 for v in values) / (n - 1)) ** 0.5 * n ** (-1 / 5)
+    got = stats.kde_density(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v", 0.0, 1000.0, 51).collect()
+    assert sorted(r.x for r in got) == [20.0 * k for k in range(51)]
+    for r in got:
+        exact = sum(math.exp(-(((r.x - v) / width) ** 2) / 2) for v in values) / (n * width * (2 * math.pi) ** 0.5)
+        assert abs(r.density - exact) < 2e-5
+    one = spark.createDataFrame([(1.0,)], "v double")
+    assert stats.kde_density(one, "v", 0.0, 1.0).count() == 0
+
+
+def test_barcode_matches_are_those_of_a_plain_search(spark):
+    rnd, flip = random.Random(15), str.maketrans("ACGT", "TGCA")
+    turned = lambda s: s[::-1].translate(flip)
+    sheet = [(f"s{k}", *("".join(rnd.choices("ACGT", k=10)) for _ in range(2))) for k in range(4)]
+    rows = []
+    for k in range(60):
+        _, a, b = rnd.choice(sheet)
+        a, b = rnd.choice([(a, turned(b)), (b, turned(a)), (a, a), (b, a), (turned(a), turned(b)), (a, b), ("", "")])
+        a, b = ("".join(rnd.choice("ACGT") if rnd.random() < 0.08 else c for c in s) for s in (a, b))
+        rows.append((f"r{k:02}", "".join(rnd.choices("ACGT", k=12)) + a + "".join(rnd.choices("ACGT", k=60)) + b + "".join(rnd.choices("ACGT", k=9))))
+    reads = spark.createDataFrame([*rows, ("short", "ACG"), ("none", "")], "read_id string, seq string").withColumn("start_region", F.left("seq", F.lit(30))).withColumn("end_region", F.right("seq", F.lit(30)))
+
+    def substitutions(text, tag):
+        return min((sum(x != y for x, y in zip(text[i : i + 10], tag, strict=True)) for i in range(len(text) - 9)), default=99)
+
+    fast = {}
+    for read, seq in rows:
+        totals = []
+        for k, (sample, a, b) in enumerate(sheet):
+            kinds = {"bc1": a, "bc2": b, "bc1rc": turned(a), "bc2rc": turned(b)}
+            for x, y in barcodes.PAIRS:
+                d, e = substitutions(seq[:30], kinds[x]), substitutions(seq[-30:], kinds[y])
+                if d <= 1 and e <= 1:
+                    totals.append((d + e, k, sample))
+        fast[read] = min(totals)[::2] if totals else (None, None)
+    got = {r.read_id: (r.dist, r.sample) for r in barcodes.barcode_fast_match(reads, sheet).collect()}
+    assert got == fast | {"short": (None, None), "none": (None, None)}
+    assert len({s for _, s in fast.values()}) == 5
