@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from strandlake.functions import alignment
-from strandlake.operators import consensus
+from strandlake.operators import barcodes, consensus
 from strandlake.plans import queries as Q
 
 
@@ -114,3 +114,47 @@ def test_all_variants_are_sorted(spark, tables):
     # rows that only differ in columns left out may come in any order, but are equal
     assert found == wanted(tables, "sort_outputs")
     assert len(found) == 300
+
+
+def pocket_reads():
+    """Anchors at all places about the last 150 bases' begin, so that some pockets don't fit and another way has one."""
+    rnd, anchors = random.Random(9), [barcodes.BC1_FWD, barcodes.BC1_REV, barcodes.BC2_FWD, barcodes.BC2_REV]
+    seqs = ["", "ACG", barcodes.BC2_FWD, "A" * 150, "A" * 30 + barcodes.BC2_FWD + "A" * 130]
+    for k in range(400):
+        seq = rnd.choices("ACGT", k=rnd.choice([100, 170, 190, 260]))
+        for anchor in rnd.choices(anchors, k=3):
+            at = min(max(len(seq) - 150 - rnd.randint(-10, 40), 0), len(seq) - 8) if k % 2 else rnd.randint(0, len(seq) - 8)
+            seq[at : at + 8] = anchor
+        seqs.append("".join(seq))
+    return seqs
+
+
+def plain_pocket(seq, fwd, rev, after):
+    cut, k = max(len(seq) - 150, 0), 0
+    for text in (seq[:cut], seq[cut:]):
+        for anchor, side in ((fwd, after), (rev, not after)):
+            at, k = text.find(anchor), k + 1
+            first, last = (at + 6, at + 20) if side else (max(at - 12, 0), at + 2)
+            if at >= 0 and last <= len(text):
+                return text[first:last], k
+    return None, None
+
+
+def test_pockets_of_the_first_way_are_those_of_the_sql(spark, tmp_path):
+    c, seqs = duckdb.connect(), pocket_reads()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, 'en', 's')", [(k, s and s.replace("C", "B")) for k, s in enumerate([*seqs, None])])
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    own = (str(tmp_path), c)
+    found = rows(got(spark, own, "barcode_anchor_pocket"))
+    assert found == rows(wanted(own, "barcode_anchor_pocket"))
+    other = [s for s in seqs if s.find(barcodes.BC2_FWD, 0, max(len(s) - 150, 0)) >= 0 and plain_pocket(s, barcodes.BC2_FWD, barcodes.BC2_REV, True)[1] in (2, 3, 4)]
+    assert len(found) > 20 and len(other) > 5  # the others have that anchor too, but their pocket by another way
+
+
+def test_pockets_and_ways_are_those_of_a_plain_search(spark):
+    seqs = pocket_reads()
+    want = [(k, *plain_pocket(s, barcodes.BC1_FWD, barcodes.BC1_REV, False), *plain_pocket(s, barcodes.BC2_FWD, barcodes.BC2_REV, True)) for k, s in enumerate(seqs)]
+    found = barcodes.anchor_pockets(spark.createDataFrame(list(enumerate(seqs)), "k long, seq string"))
+    assert sorted(tuple(r) for r in found.select("k", "bc1_pocket", "bc1_way", "bc2_pocket", "bc2_way").collect()) == want
+    assert {w[2] for w in want} == {w[4] for w in want} == {None, 1, 2, 3, 4}
